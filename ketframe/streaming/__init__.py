@@ -1,0 +1 @@
+"""No streaming operators: the engine's domain has none (finite matrices, vectors and circuits)."""
