@@ -176,7 +176,9 @@ class Model:
                 continue
             own, mean = h[:, j], np.average(h[:, j], weights=n)
             self.spread[j] = np.sqrt(np.mean((own - mean) ** 2 * n))
-            self.limit[j] = max(own.max(), mean + 6 * own.std())
+            # what other languages' texts get here shows how far from home a text has to be; with one language, its letters at random
+            other = [np.median(trained.entropies(t)[0][:, j]) for x, t in samples.items() if x != self.langs[j] and t]
+            self.limit[j] = max(own.max(), mean + 6 * own.std(), min(other, default=2 * mean))
             found.append((h, j))
         heats = np.geomspace(0.005, 1, 24)
         fit = [sum(np.sum(-h[:, j] / t - np.log(np.exp((h.min(1)[:, None] - h) / t).sum(1)) + h.min(1) / t) for h, j in found) for t in heats]
