@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ketframe.llm.components import components, priority
+from ketframe.llm.native import cross_pairs
 from ketframe.llm.shingles import shingle_sets
 from ketframe.session import saved, ship
 
@@ -109,11 +110,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
     group = saved(components(links), "groups")
 
     # what is still apart within a list: pairs of different components, sizes permitting
-    placed = lists.join(group, "node", "left").withColumn("g", F.coalesce("component", "node")).select("v", "node", "n", "g")
-    mixed = placed.groupBy("v").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("v")
-    apart = saved(placed.join(mixed, "v"), "apart")
-    one, two = apart.toDF("v", "a", "n_a", "g_a"), apart.toDF("v", "b", "n_b", "g_b")
-    rest = one.join(two, (one.v == two.v) & (one.a < two.b) & (one.g_a != two.g_b) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)).select("a", "b").distinct()
+    placed = lists.join(group, "node", "left").select("v", "node", "n", F.coalesce("component", "node").alias("g"))
+    rest = cross_pairs(placed, ["v"], ["n"], lambda p, q: F.least(p("n"), q("n")) * 100 >= F.greatest(p("n"), q("n")) * percent)
     rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _confirmed(rest, texts, nodes, words, percent, k, shared)
     final = components(links.union(more))
