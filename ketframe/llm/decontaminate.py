@@ -18,9 +18,16 @@ from pyspark.sql import functions as F
 from ketframe.llm.native import let, lower_az, row_key, small
 from ketframe.session import saved
 
-#: Words: runs of ASCII letters and digits and of all characters beyond ASCII (fixed pattern).
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _word(parts: list[range]) -> str:
+    """Runs of characters outside the ASCII ranges; each one named, as Java's engine tests a list of characters by one look-up but ranges in turn."""
+    return "[^" + "".join(f"\\x{c:02X}" for r in parts for c in r) + "]+"
+
+
+#: Words: runs of a-z, 0-9 and all characters beyond ASCII (fixed ranges of what parts them); the same before A-Z are lowered.
+WORD = _word([range(0x00, 0x30), range(0x3A, 0x61), range(0x7B, 0x80)])
+_WORD_ANY_CASE = _word([range(0x00, 0x30), range(0x3A, 0x41), range(0x5B, 0x61), range(0x7B, 0x80)])
 #: Low bits of a fingerprint that hold its position; a text has fewer words than that.
 _PLACE = 28
 #: Item fingerprints, or items, up to this many rows are broadcast; more are shuffled.
