@@ -73,12 +73,52 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int,
                 out.append(100 * n >= percent * (p.size + q.size - n))
         return pd.Series(out, dtype=bool)
 
-    asked = near.select(F.explode(F.array("a", "b")).alias("d")).distinct()
-    known = saved(texts.join(asked, "d"), "texts")
-    full = near.join(known.toDF("a", "t_a"), "a").join(known.toDF("b", "t_b"), "b")
+    full = near.join(texts.toDF("a", "t_a"), "a").join(texts.toDF("b", "t_b"), "b")
     return saved(full.filter(alike("t_a", "t_b")).select("a", "b"), "alike")
 
 
+#: Bits of a signature: a set's shingles, hashed to so many places.
+_PLACES = 2048
+
+
+def _bounds(texts: DataFrame, words: int) -> DataFrame:
+    """node, own (its shingles that no other of these texts has) and marks (its signature, as longs)."""
+
+    def opened(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i in range(0, len(part), 128):
+                nodes = part["d"].to_numpy()[i : i + 128]
+                sets = shingle_sets([t.encode() for t in part["t"].tolist()[i : i + 128]], words)
+                yield pd.DataFrame({"node": np.repeat(nodes, [s.size for s in sets]), "s": np.concatenate(sets).view(np.int64)})
+
+    @F.pandas_udf("array<long>")
+    def marks(part: pd.Series) -> pd.Series:
+        out = []
+        for i in range(0, len(part), 128):
+            for s in shingle_sets([t.encode() for t in part.tolist()[i : i + 128]], words):
+                places = np.zeros(_PLACES, np.uint8)
+                places[(s % np.uint64(_PLACES)).astype(np.int64)] = 1
+                out.append(np.packbits(places).view(np.int64))
+        return pd.Series(out)
+
+    own = texts.mapInPandas(opened, "node long, s long").groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("node")).filter("m = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    marked = texts.select(F.col("d").alias("node"), marks("t").alias("marks"))
+    return saved(marked.join(own, "node", "left").select("node", F.coalesce("own", F.lit(0)).alias("own"), "marks"), "bounds")
+
+
+def _can_link(p, q, percent: int):
+    """False only for pairs that can't be similar enough: by size, by shingles that nobody else has, by places that only one has marked."""
+
+    def allows(common, union):
+        return common * 100 >= union * percent
+
+    n, m = p("n"), q("n")
+    most = F.least(n - p("own"), m - q("own"))
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda t, k: t + k)
+    apart = F.transform(F.array(F.struct(lacks(p("marks"), q("marks")).alias("x"), lacks(q("marks"), p("marks")).alias("y"))), lambda d: allows(F.least(n - d["x"], m - d["y"]), F.greatest(n + d["y"], m + d["x"])))[0]
+    return allows(F.least(n, m), F.greatest(n, m)) & allows(most, n + m - most) & apart
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int = K, shared: int = SHARED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``; other columns aren't read.
 
@@ -101,17 +141,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
     need = F.when(F.col("size") < k, F.ceil(F.col("size") * percent / 100)).otherwise(shared)
     ranked = common.groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     reach = (F.col("size") - need + 1) - (F.col("size") - F.size("vs"))
-    lists = saved(ranked.withColumn("reach", reach).filter("reach > 0").select("node", "n", F.explode(F.expr("slice(vs, 1, cast(reach as int)).v")).alias("v")), "lists")
+    lists = saved(ranked.withColumn("reach", reach).filter("reach > 0").select("node", "n", "size", F.size("vs").alias("shared"), F.explode(F.expr("slice(vs, 1, cast(reach as int)).v")).alias("v")), "lists")
 
+    # the first to be compared with: the member with most of its sketch in common with others
+    typical = F.shiftleft((F.col("size") - F.col("shared")).cast("long"), 57) + F.shiftrightunsigned(priority("node"), 7)
+    leaders = lists.groupBy("v").agg(F.min_by("node", typical).alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    lists = saved(lists.join(leaders, "v").drop("size", "shared"), "shared_lists")
     texts = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("t")).filter("d is not null and t is not null")
-    leaders = lists.groupBy("v").agg(F.min_by("node", priority("node")).alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    stars = lists.join(leaders, "v").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
+    texts = saved(texts.join(lists.select(F.col("node").alias("d")).distinct(), "d"), "texts")
+    stars = lists.select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     links = _confirmed(stars, texts, nodes, words, percent, k, shared)
     group = saved(components(links), "groups")
 
     # what is still apart within a list: pairs of different components, sizes permitting
     placed = lists.join(group, "node", "left").select("v", "node", "n", F.coalesce("component", "node").alias("g"))
-    rest = cross_pairs(placed, ["v"], ["n"], lambda p, q: F.least(p("n"), q("n")) * 100 >= F.greatest(p("n"), q("n")) * percent)
+    mixed = placed.groupBy("v").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("v")
+    placed = saved(placed.join(mixed, "v"), "apart")
+    bounds = _bounds(texts.join(placed.select(F.col("node").alias("d")).distinct(), "d"), words)
+    # one that shares too little with all others together can't be linked at all
+    placed = placed.join(bounds, "node").filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
+    rest = cross_pairs(placed, ["v"], ["n", "own", "marks"], lambda p, q: _can_link(p, q, percent))
     rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _confirmed(rest, texts, nodes, words, percent, k, shared)
     final = components(links.union(more))
