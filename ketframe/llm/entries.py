@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ketframe.llm import decontaminate, langid, line_dedup, minhash, packing, token_counts
+from ketframe.llm import decontaminate, langid, line_dedup, minhash, packing, suffix_dedup, token_counts
 
 
 
@@ -43,8 +43,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_minhash, op4_decontamination, op5_line_dedup, op6_token_counts, op8_packing)}
+    return {f.__name__: f for f in (op2_language_id, op3_minhash, op4_decontamination, op5_line_dedup, op6_token_counts, op8_packing, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
