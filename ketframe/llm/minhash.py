@@ -160,7 +160,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
     bounds = _bounds(texts.join(placed.select(F.col("node").alias("d")).distinct(), "d"), words)
     # one that shares too little with all others together can't be linked at all
     placed = placed.join(bounds, "node").filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
-    rest = cross_pairs(placed, ["v"], ["n", "own", "marks"], lambda p, q: _can_link(p, q, percent))
+    # a pair comes from the least of the values that bring it together, once
+    placed = placed.join(placed.groupBy("node").agg(F.collect_set("v").alias("vs")), "node")
+    once = lambda p, q: F.col("v") == F.array_min(F.array_intersect(p("vs"), q("vs")))
+    rest = cross_pairs(placed, ["v"], ["n", "own", "marks", "vs"], lambda p, q: _can_link(p, q, percent) & once(p, q))
     rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _confirmed(rest, texts, nodes, words, percent, k, shared)
     final = components(links.union(more))
