@@ -7,7 +7,7 @@ square of the corpus, so shards are made by content:
 1. Each string of ``span`` bytes holds a window of hashed ``gram``-byte grams; the smallest is its anchor.
    Equal strings have equal anchors at equal places, so whatever repeats does so around a shared anchor.
 2. Anchors that occur once are done with. Occurrences whose whole context (all strings that
-   hold the anchor) is equal are one string with a count; a count of two settles it.
+   have this anchor) is equal are one string with a count; a count of two settles it.
 3. Different contexts of one anchor go to one shard. A shard sorts its suffixes by Larsson-Sadakane
    refinement, reads common prefixes by Kasai's recurrence, and marks starts of repeated strings. An
    anchor with many contexts is split into several parts; each pair of parts is a shard, and the
@@ -49,16 +49,18 @@ def _sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def anchors(texts: list[bytes], span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, place, hash of the gram, hash of the context) of every anchor.
+def anchors(texts: list[bytes], span: int, gram: int, scopes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text number, place, hash of the gram, hash of the context, back, ahead) of every anchor.
 
-    Of equal smallest grams in a window all are anchors, so that nothing depends on where a text is cut.
+    The context is made of all strings of ``span`` bytes of which this is the anchor; it reaches
+    from ``back`` bytes before the place to ``ahead`` bytes after it. Of equal smallest grams in a window
+    all are anchors, so that nothing depends on where a text is cut. Texts of different ``scopes``
+    have no hash in common.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     if not sizes.size or sizes.max() < span:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return (np.zeros(0, np.int64),) * 6
     ends = np.repeat(np.cumsum(sizes), sizes)
     up, down = powers(data.size + 1)
     total = np.zeros(data.size + 1, np.uint64)
@@ -67,16 +69,28 @@ def anchors(texts: list[bytes], span: int, gram: int) -> tuple[np.ndarray, np.nd
     grams = np.full(data.size, np.iinfo(np.uint64).max, np.uint64)
     n = data.size - gram + 1
     grams[:n] = mix((total[gram:] - total[:n]) * down[:n])
+    if scopes is not None:
+        grams[:n] = mix(grams[:n] ^ np.repeat(scopes.astype(np.int64).view(np.uint64), sizes)[:n])
     window = span - gram + 1
     least = _sliding(grams, window, np.minimum)
     least[at + span > ends] = 0  # no string of `span` bytes starts there
     most = _sliding(least[::-1], window, np.maximum)[::-1]
     place = np.flatnonzero((grams == most) & (at + gram <= ends) & (most > 0))
+    # the strings of an anchor start side by side: a run of equal window minima
+    begins = np.flatnonzero(np.diff(least, prepend=least[0] ^ np.uint64(1)) != 0)
+    stops = np.append(begins[1:], least.size)
+    run = np.searchsorted(stops, np.maximum(place - window + 1, 0), side="right")
+    todo = np.flatnonzero(least[begins[run]] != grams[place])
+    while todo.size:
+        run[todo] += 1
+        todo = todo[least[begins[run[todo]]] != grams[place[todo]]]
+    a = np.maximum(begins[run], place - window + 1)
+    b = np.minimum(stops[run] - 1, place) + span
     number = np.searchsorted(np.cumsum(sizes), place, side="right")
     first = (np.cumsum(sizes) - sizes)[number]
-    a, b = np.maximum(place - (span - gram), first), np.minimum(place + span, first + sizes[number])
-    context = mix((total[b] - total[a]) * down[a] + mix(((place - a) * 65_536 + (b - place)).astype(np.uint64)))
-    return number, place - first, grams[place].view(np.int64), context.view(np.int64)
+    a, back, ahead = np.maximum(a, first), place - np.maximum(a, first), b - place
+    context = mix((total[b] - total[a]) * down[a] + mix((back * 65_536 + ahead).astype(np.uint64)))
+    return number, place - first, grams[place].view(np.int64), context.view(np.int64), back, ahead
 
 
 def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +115,7 @@ def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         for i in range(j):
             past |= closed[i : i + n]
         first[past] &= ~(511 << (9 * (6 - j)))
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first, kind="stable")  # stable: of equal ends the earlier string's comes first
     same = np.zeros(n, bool)  # equal to the one before
     same[1:] = (first[order[1:]] == first[order[:-1]]) & ~near_end[order[1:]] & ~near_end[order[:-1]]
     rank = np.empty(n, np.int64)
@@ -113,11 +127,12 @@ def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         head = rank[members]
         # an open group's members haven't met their 0 within `reach`, so this stays inside the text
         then = rank[members + reach]
-        by = np.lexsort((then, head))
-        members, head, then = members[by], head[by], then[by]
+        key = (head << 32) | then
+        by = np.argsort(key)
+        members, key = members[by], key[by]
         order[open_at] = members
         joined = np.zeros(open_at.size, bool)
-        joined[1:] = (head[1:] == head[:-1]) & (then[1:] == then[:-1])
+        joined[1:] = key[1:] == key[:-1]
         rank[members] = np.maximum.accumulate(np.where(joined, 0, open_at))
         open_at = open_at[joined | np.concatenate([joined[1:], [False]])]
         reach *= 2
@@ -128,7 +143,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, len
     """Kasai: for each suffix, symbols in common with the one before it in ``order``, up to ``cap``.
 
     The recurrence (a suffix that loses its first symbol loses at most one common symbol) runs along
-    all strings at once, 7 symbols a comparison.
+    all strings at once. Suffixes shorter than ``cap`` aren't asked for and stay 0.
     """
     n = text.size
     before = np.full(n, -1, np.int64)
@@ -136,8 +151,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, len
     out = np.zeros(n, np.int64)
     padded = np.concatenate([text, np.zeros(cap + 8, np.int64)])
     now = np.zeros(starts.size, np.int64)
-    for step in range(int(lengths.max(initial=0))):
-        live = np.flatnonzero(lengths > step)
+    for step in range(int(lengths.max(initial=0)) - cap):
+        live = np.flatnonzero(lengths > step + cap)
         i = starts[live] + step
         j = before[i]
         have = np.where(j < 0, 0, np.maximum(now[live] - 1, 0))
@@ -152,11 +167,11 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, len
     return out
 
 
-def repeated_starts(strings: list[bytes], codes: np.ndarray, span: int) -> list[np.ndarray]:
+def repeated_starts(strings: list[bytes], codes: np.ndarray, span: int, places: bool = True) -> list[np.ndarray]:
     """For each string, the places where a string of ``span`` bytes starts that also starts at another ``code``.
 
     ``codes[k] + place`` names a place of the corpus: overlapping contexts of one document hold the
-    same places, which aren't repeats.
+    same places, which aren't repeats. Without ``places`` a code alone counts.
     """
     lengths = np.fromiter(map(len, strings), np.int64, len(strings)) + 1
     starts = np.cumsum(lengths) - lengths
@@ -164,7 +179,7 @@ def repeated_starts(strings: list[bytes], codes: np.ndarray, span: int) -> list[
     text[starts + lengths - 1] = 0
     order, _ = suffix_ranks(text, int(lengths.max(initial=1)))  # in full: Kasai's recurrence needs it
     prefix = common_prefixes(text, order, starts, lengths, span)
-    name = np.repeat(codes - starts, lengths) + np.arange(text.size)
+    name = np.repeat(codes - starts, lengths) + np.arange(text.size) if places else np.repeat(codes, lengths)
     run = np.flatnonzero(prefix[order] < span)  # a run of equal strings begins
     sorted_names = name[order]
     low, high = np.minimum.reduceat(sorted_names, run), np.maximum.reduceat(sorted_names, run)
@@ -185,21 +200,22 @@ def _spans(starts: np.ndarray, span: int, shift: int) -> list[tuple[int, int]]:
 def _anchored(source: DataFrame, span: int, gram: int) -> DataFrame:
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            ids, keys = part["key_id"].to_numpy(), part["key_text"].to_numpy()
+            fixed = part[["key_id", "key_text", "scope"]].to_numpy()
             texts, first, size = [], 0, 0
             for i, t in enumerate([*part["text"].tolist(), None]):
                 if texts and (t is None or size > BATCH):
-                    number, place, h, s = anchors(texts, span, gram)
-                    yield pd.DataFrame({"key_id": ids[first + number], "key_text": keys[first + number], "place": place, "h": h, "s": s})
+                    number, place, h, s, back, ahead = anchors(texts, span, gram, fixed[first : first + len(texts), 2])
+                    own = fixed[first + number]
+                    yield pd.DataFrame({"key_id": own[:, 0], "key_text": own[:, 1], "scope": own[:, 2], "place": place, "h": h, "s": s, "back": back, "ahead": ahead})
                     texts, first, size = [], i, 0
                 if t is not None:
                     texts.append(t.encode())
                     size += len(texts[-1])
 
-    return source.mapInPandas(find, "key_id long, key_text long, place long, h long, s long")
+    return source.mapInPandas(find, "key_id long, key_text long, scope long, place long, h long, s long, back int, ahead int")
 
 
-def _contexts(texts: DataFrame, span: int, gram: int) -> DataFrame:
+def _contexts(texts: DataFrame) -> DataFrame:
     """Cut the wanted contexts out of their documents."""
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,14 +224,14 @@ def _contexts(texts: DataFrame, span: int, gram: int) -> DataFrame:
             for key_id, key_text, text, wanted in zip(part["key_id"], part["key_text"], part["text"], part["wanted"], strict=True):
                 body = text.encode()
                 for w in wanted:
-                    a = max(0, w["place"] - (span - gram))
-                    rows.append((w["h"], w["s"], w["part"], w["parts"], key_id, key_text, a, w["place"] - a, body[a : w["place"] + span]))
-            yield pd.DataFrame(rows, columns=["h", "s", "part", "parts", "key_id", "key_text", "first", "back", "body"])
+                    a = w["place"] - w["back"]
+                    rows.append((w["scope"], w["h"], w["s"], w["part"], w["parts"], key_id, key_text, a, w["back"], body[a : w["place"] + w["ahead"]]))
+            yield pd.DataFrame(rows, columns=["scope", "h", "s", "part", "parts", "key_id", "key_text", "first", "back", "body"])
 
-    return texts.mapInPandas(cut, "h long, s long, part int, parts int, key_id long, key_text long, first long, back long, body binary")
+    return texts.mapInPandas(cut, "scope long, h long, s long, part int, parts int, key_id long, key_text long, first long, back long, body binary")
 
 
-def _sorted_shards(contexts: DataFrame, span: int) -> DataFrame:
+def _sorted_shards(contexts: DataFrame, span: int, places: bool) -> DataFrame:
     """h, s and what the context loses there: half-open runs relative to the anchor."""
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,9 +252,9 @@ def _sorted_shards(contexts: DataFrame, span: int) -> DataFrame:
         rows = rows.reset_index(drop=True)
         size = rows["body"].map(len).cumsum().to_numpy()
         new = np.append(True, (rows[["h", "one", "two"]].to_numpy()[1:] != rows[["h", "one", "two"]].to_numpy()[:-1]).any(1)) if len(rows) else np.zeros(0, bool)
-        begins, base = [0], 0
+        begins, base, scope = [0], 0, rows["scope"].to_numpy()
         for i in np.flatnonzero(new)[1:]:
-            if size[i - 1] - base > SHARD:
+            if size[i - 1] - base > SHARD or scope[i] != scope[i - 1]:
                 begins.append(int(i))
                 base = size[i - 1]
         for a, b in zip(begins, [*begins[1:], len(rows)], strict=True):
@@ -247,18 +263,53 @@ def _sorted_shards(contexts: DataFrame, span: int) -> DataFrame:
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
         document = rows.groupby(["key_id", "key_text"], sort=False).ngroup().to_numpy().astype(np.int64)
-        found = repeated_starts(rows["body"].tolist(), (document << 40) + rows["first"].to_numpy(), span)
+        found = repeated_starts(rows["body"].tolist(), (document << 40) + places * rows["first"].to_numpy(), span, places)
         runs = [_spans(x, span, -back) for x, back in zip(found, rows["back"].tolist(), strict=True)]
         out = [(h, s, a, b) for h, s, rs in zip(rows["h"], rows["s"], runs, strict=True) for a, b in rs]
         return pd.DataFrame(out, columns=["h", "s", "a", "b"]).astype("int64")
 
     # a pair of parts is a shard; with one part that is the part itself
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("one"), F.greatest("part", j).alias("two")))
-    dealt = contexts.select("*", F.inline(pairs)).repartition("h", "one", "two").sortWithinPartitions("h", "one", "two")
+    dealt = contexts.select("*", F.inline(pairs)).repartition("h", "one", "two").sortWithinPartitions("scope", "h", "one", "two")
     return dealt.mapInPandas(work, "h long, s long, a long, b long")
 
 
-def remove_repeats(docs: DataFrame, span: int = 400, gram: int = 160, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def repeated_runs(source: DataFrame, span: int, gram: int, places: bool = True) -> DataFrame:
+    """key_id, key_text and lost (place of an anchor, runs around it) for texts with repeated strings.
+
+    ``source`` has key_id, key_text, scope and text; only texts of one scope are compared. Without
+    ``places`` a string has to start in another document, not only elsewhere.
+    """
+    long = source.filter(F.octet_length("text") >= span)
+    key = ["scope", "h", "s"]
+    found = saved(_anchored(long, span, gram), "anchors")
+    at = F.struct("key_id", "key_text", "place")
+    contexts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("at"), F.max(at).alias("last"), F.min("back").alias("back"), F.min("ahead").alias("ahead"))
+    apart = F.col("times") > 1 if places else (F.col("at.key_id") != F.col("last.key_id")) | (F.col("at.key_text") != F.col("last.key_text"))
+    contexts = saved(contexts.select(*key, "times", "at", "back", "ahead", apart.alias("apart")), "contexts")
+    often = contexts.groupBy("scope", "h").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1").drop("all")
+    contexts = saved(contexts.join(often, ["scope", "h"]), "repeated_contexts")
+    parts = F.ceil(F.col("kinds") / PART).cast("int")
+    wanted = contexts.filter("kinds > 1").select("at.*", *key, "back", "ahead", F.pmod(F.xxhash64("s"), parts).cast("int").alias("part"), parts.alias("parts"))
+    wanted = wanted.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("place", *key, "back", "ahead", "part", "parts")).alias("wanted"))
+    one = long.join(wanted, ["key_id", "key_text"])
+    lost = saved(_sorted_shards(_contexts(one), span, places), "lost")
+    settled = contexts.filter("apart").select("h", "s", (-F.col("back")).cast("long").alias("a"), F.col("ahead").cast("long").alias("b"))
+    runs = lost.union(settled).groupBy("h", "s").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    return found.join(runs, ["h", "s"]).groupBy("key_id", "key_text").agg(F.collect_list(F.struct("place", "runs")).alias("lost"))
+
+
+def lost_bytes(size: int, lost) -> np.ndarray:
+    """Which of a text's bytes go."""
+    edge = np.zeros(size + 1, np.int64)
+    for x in lost:
+        for r in x["runs"]:
+            edge[x["place"] + r["a"]] += 1
+            edge[x["place"] + r["b"]] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
+def remove_repeats(docs: DataFrame, span: int = 400, gram: int = 64, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row (and kept, the bytes, if asked).
 
     A null text is empty; nothing of a text under ``span`` bytes goes. Two rows with one id and
@@ -267,37 +318,15 @@ def remove_repeats(docs: DataFrame, span: int = 400, gram: int = 160, doc_id: st
     """
     ship(docs.sparkSession)
     source = docs.select(*row_key(doc_id, text), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    long = source.filter(F.octet_length("text") >= span).drop("doc_id")
-    found = saved(_anchored(long, span, gram), "anchors")
-    contexts = found.groupBy("h", "s").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key_id", "key_text", "place")).alias("at"))
-    contexts = saved(contexts, "contexts")
-    often = contexts.groupBy("h").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1").drop("all")
-    contexts = saved(contexts.join(often, "h"), "repeated_contexts")
-    parts = F.ceil(F.col("kinds") / PART).cast("int")
-    wanted = contexts.filter("kinds > 1").select("at.*", "h", "s", F.pmod(F.xxhash64("s"), parts).cast("int").alias("part"), parts.alias("parts"))
-    wanted = wanted.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("place", "h", "s", "part", "parts")).alias("wanted"))
-    one = long.join(wanted, ["key_id", "key_text"])
-    lost = saved(_sorted_shards(_contexts(one, span, gram), span), "lost")
-    settled = contexts.filter("times > 1").select("h", "s", F.lit(-span).cast("long").alias("a"), F.lit(span).cast("long").alias("b"))
-    runs = lost.union(settled).groupBy("h", "s").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
-    per = found.join(runs, ["h", "s"]).groupBy("key_id", "key_text").agg(F.collect_list(F.struct("place", "runs")).alias("lost"))
+    per = repeated_runs(source.drop("doc_id").withColumn("scope", F.lit(0).cast("long")), span, gram)
     joined = source.join(per, ["key_id", "key_text"], "left")
-    back = span - gram
 
     @F.pandas_udf("n_removed long, n_spans long, sha string, kept binary")
     def strip(texts: pd.Series, losses: pd.Series) -> pd.DataFrame:
         out = []
         for t, loss in zip(texts, losses, strict=True):
             body = t.encode()
-            edge = np.zeros(len(body) + 1, np.int64)
-            for x in loss:
-                for r in x["runs"]:
-                    # a settled context is all there is within reach of the anchor
-                    a, b = max(0, x["place"] + max(r["a"], -back)), min(len(body), x["place"] + r["b"])
-                    if b - a >= span:
-                        edge[a] += 1
-                        edge[b] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = lost_bytes(len(body), loss)
             kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
             spans = int(np.sum(np.diff(gone.astype(np.int8), prepend=0) == 1))
             out.append((len(body) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
