@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ketframe.llm import decontaminate, langid, line_dedup, minhash, packing, suffix_dedup, token_counts
+from ketframe.llm import chroma, decontaminate, html_text, langid, line_dedup, minhash, packing, suffix_dedup, token_counts
 
 
 
@@ -14,6 +14,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sounds = chroma.played(_read(spark, sf_dir, "embeddings"))
+    return chroma.align(chroma.fingerprints(sounds, chroma.learn_cuts(sounds)))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.learn(docs))
@@ -47,8 +52,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_minhash, op4_decontamination, op5_line_dedup, op6_token_counts, op8_packing, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_chroma, op2_language_id, op3_minhash, op4_decontamination, op5_line_dedup, op6_token_counts, op8_packing, op9_suffix_dedup, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
