@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ketframe.llm import chroma, decontaminate, html_text, langid, line_dedup, minhash, packing, suffix_dedup, token_counts
+from ketframe.llm import chroma, decontaminate, html_text, langid, line_dedup, minhash, packing, secrets_scan, suffix_dedup, token_counts
 
 
 
@@ -44,6 +44,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return secrets_scan.scan(docs, secrets_scan.learn(docs), path="source")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
 
@@ -57,7 +62,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chroma, op2_language_id, op3_minhash, op4_decontamination, op5_line_dedup, op6_token_counts, op8_packing, op9_suffix_dedup, op10_html_text)}
+    return {f.__name__: f for f in (op1_chroma, op2_language_id, op3_minhash, op4_decontamination, op5_line_dedup, op6_token_counts, op7_secret_scan, op8_packing, op9_suffix_dedup, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
