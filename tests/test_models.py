@@ -243,7 +243,7 @@ def test_qprint(spark):
     assert text([[1, 0], [0, -2]], fmt="matrix") == "⎛ 1  0⎞\n⎝ 0 -2⎠"
     latex = pretty.qprint(spark, np.array([1, -1, 1j, 1]), terms_per_row=2)
     assert latex == r"\begin{split} & | 0 \rangle - | 1 \rangle \\ &  + i| 2 \rangle + | 3 \rangle \end{split}"
-    assert pretty.qprint(spark, np.array([[0, 1], [1, 0]]), fmt="matrix", env=None) == r"\begin{pmatrix}0 & 1 \\ 1 & 0\end{pmatrix}"
+    assert pretty.qprint(spark, np.array([[0, 2], [3, 0]]), fmt="matrix", env=None) == r"\begin{pmatrix}0 & 2 \\ 3 & 0\end{pmatrix}"
     # just below a full turn is on the real axis
     assert text([complex(1, -1e-9), 0]).strip() == "|0>"
 
