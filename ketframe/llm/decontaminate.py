@@ -43,6 +43,10 @@ def _grams(h: Column, n: int, make) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: make(F.xxhash64(*[F.get(h, i + j) for j in range(n)]), i))
 
 
+def _placed_grams(n: int):
+    return lambda h: F.when(F.size(h) >= n, _grams(h, n, lambda x, i: F.struct(x.alias("hash"), i.alias("offset"))))
+
+
 def fingerprints(text: Column, span: int, k: int) -> Column:
     """Winnowed k-gram hashes of a text: the hash's high bits over the position; null if it has under ``span`` words."""
     window = span - k + 1
@@ -75,7 +79,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5,
     found = found.select("key_id", "key_text", "item_key", (F.col("place") - F.col("item_place")).alias("offset"))
     for n in [r["n"] for r in words.select(F.size("item_words").alias("n")).filter(f"n < {span}").distinct().collect()]:  # under `span` of them
         short = saved(words.filter(F.size("item_words") == n).select("item_key", F.xxhash64(*[F.get("item_words", F.lit(j)) for j in range(n)]).alias("hash")), "short_items")
-        grams = let(hashes(F.col("text")), lambda h, n=n: F.when(F.size(h) >= n, _grams(h, n, lambda x, i: F.struct(x.alias("hash"), i.alias("offset")))))
+        grams = let(hashes(F.col("text")), _placed_grams(n))
         each = source.select("key_id", "key_text", F.inline(grams)).join(small(short, BROADCAST_ROWS), "hash")
         found = found.union(each.select("key_id", "key_text", "item_key", "offset"))
     found = saved(found.distinct(), "aligned")

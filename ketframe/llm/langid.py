@@ -115,7 +115,7 @@ class Model:
 
     @staticmethod
     def _shared(columns: list, fill: float) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.unique(np.concatenate([k for k, _ in columns]))
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in columns]]))
         out = np.full((keys.size, len(columns)), fill)
         for j, (k, v) in enumerate(columns):
             out[np.searchsorted(keys, k), j] = v
@@ -178,7 +178,7 @@ class Model:
             self.spread[j] = np.sqrt(np.mean((own - mean) ** 2 * n))
             # what other languages' texts get here shows how far from home a text has to be; with one language, its letters at random
             other = [np.median(trained.entropies(t)[0][:, j]) for x, t in samples.items() if x != self.langs[j] and t]
-            self.limit[j] = max(own.max(), mean + 6 * own.std(), min(other, default=2 * mean))
+            self.limit[j] = max(own.max(), mean + 6 * own.std(), mean + 0.8 * (min(other, default=2 * mean) - mean))
             found.append((h, j))
         heats = np.geomspace(0.005, 1, 24)
         fit = [sum(np.sum(-h[:, j] / t - np.log(np.exp((h.min(1)[:, None] - h) / t).sum(1)) + h.min(1) / t) for h, j in found) for t in heats]
