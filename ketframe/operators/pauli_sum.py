@@ -9,6 +9,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +104,10 @@ def terms_fit(terms: DataFrame) -> bool:
 def check_size(n_rows: int, num_qubits: int) -> None:
     if n_rows != 1 << num_qubits:
         raise ValueError(f"a vector of {1 << num_qubits} entries is needed, not {n_rows}")
+
+
+def arrays(terms: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Masks x and z and coefficients of a Hamiltonian's terms, ordered by (x, z); real if all of them are."""
+    rows = terms.select("x", "z", "re", "im").orderBy("x", "z").collect()  # terms are few
+    c = np.array([complex(r["re"], r["im"]) for r in rows])
+    return np.array([r["x"] for r in rows], np.int64), np.array([r["z"] for r in rows], np.int64), c if np.any(c.imag) else c.real

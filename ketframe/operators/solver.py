@@ -88,6 +88,14 @@ def lowest(product: Callable[[np.ndarray], np.ndarray], start: np.ndarray, orth:
     return theta, x, history
 
 
+def lowest_of_matrix(matrix: np.ndarray, start: int = 0, orth: Sequence[np.ndarray] = (), maxiter: int = 1000, tol: float | None = None) -> tuple[float, np.ndarray, int]:
+    """(energy, vector, iterations) of a dense Hermitian matrix, from a basis state."""
+    if matrix.ndim != 2 or matrix.shape[0] != matrix.shape[1]:
+        raise ValueError("a square matrix is needed")
+    energy, vector, history = lowest(lambda v: matrix @ v, np.eye(len(matrix), dtype=matrix.dtype)[start], orth, maxiter, tol)
+    return energy, vector, history[-1][0]
+
+
 SOLVED = "energy double, iterations int, residual double, history array<struct<i:int,energy:double,residual:double>>, vector array<struct<s:long,re:double,im:double>>"
 
 

@@ -266,3 +266,40 @@ def test_qprint_errors(spark):
 def test_number_format_is_pythons(spark):
     got = spark.createDataFrame([(0.0625,), (2.5,), (1e-9,)], "v double").select(pretty.formatted(F.col("v"), ".3f").alias("t")).collect()
     assert [r["t"] for r in got] == ["0.062", "2.500", "0.000"]
+
+
+def test_sinks_and_generators(spark, tmp_path):
+    from ketframe.sources import generators, sinks
+
+    states = generators.random_states(spark, 12, 500, seed=3)
+    assert states.collect() == generators.random_states(spark, 12, 500, seed=3).collect()
+    assert 0 <= states.agg(F.min("s")).first()[0] and states.agg(F.max("s")).first()[0] < 4096
+    strings = generators.random_paulisum(spark, 6, 20, seed=4)
+    terms = pauli_sum.fold_phase(pauli_sum.symplectic(pauli_sum.consolidate(strings))).drop("ham_id")
+    x, z, c = pauli_sum.arrays(terms)
+    assert len(x) == len(z) == len(c) == terms.count()
+    h = subspace.hproj(states.select((F.col("s") % 64).alias("s")), terms)
+    sinks.write(h, f"{tmp_path}/h", "matrix")
+    back = sinks.read(spark, f"{tmp_path}/h", "matrix")
+    assert sorted(back.collect()) == sorted(h.collect())
+    rows = strings.collect()
+    m = dense([r["pauli"] for r in rows], [r["re"] for r in rows])
+    assert np.allclose(matrix(back.collect(), 64), m)
+    with pytest.raises(ValueError):
+        sinks.write(h, f"{tmp_path}/x", "vector")
+    # the ground state of a Hermitian sum found from one state is that of what is connected to it
+    e, v, _ = solver.lowest_of_matrix(m, 0)
+    assert np.linalg.norm(m @ v - e * v) < 1e-6 and e >= np.linalg.eigvalsh(m)[0] - 1e-9
+    with pytest.raises(ValueError):
+        solver.lowest_of_matrix(np.ones((2, 3)))
+
+
+def test_state_operators(spark):
+    states = spark.createDataFrame([(s,) for s in (5, 1, 5, 70, 4096 * 9, 1)], "s long")
+    assert [(r["s"], r["idx"]) for r in subspace.state_index(states).orderBy("idx").collect()] == [(1, 0), (5, 1), (70, 2), (36864, 3)]
+    assert {r["s"]: r["first"] for r in subspace.first_positions(states.withColumn("p", F.monotonically_increasing_id()), "p").collect()}.keys() == {1, 5, 70, 36864}
+    bits = spark.createDataFrame([([1, 0, 1],), ([0, 1, 1],)], "bits array<int>")
+    assert [r["s"] for r in subspace.pack(bits).collect()] == [5, 3]
+    with pytest.raises(ValueError):
+        subspace.unpack(states, 63)
+    assert subspace.hproj(states.limit(0), pauli_sum.from_paulisum(spark, ["X"], [1.0])).count() == 0
