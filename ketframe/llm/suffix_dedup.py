@@ -105,17 +105,16 @@ def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     padded = np.concatenate([text, np.zeros(7, np.int64)])
     for j in range(7):
         first = (first << 9) | padded[j : j + n]
-    closed = np.zeros(n + 7, bool)
-    closed[:n] = text == 0
-    near_end = np.zeros(n, bool)
-    for j in range(7):
-        near_end |= closed[j : j + n]
-    for j in range(1, 7):  # symbols behind the first 0 don't count
-        past = np.zeros(n, bool)
-        for i in range(j):
-            past |= closed[i : i + n]
-        first[past] &= ~(511 << (9 * (6 - j)))
-    order = np.argsort(first, kind="stable")  # stable: of equal ends the earlier string's comes first
+    ends = np.flatnonzero(text == 0)
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # symbols before the string's 0
+    near_end = left < 7
+    # symbols behind the 0 don't count
+    first &= np.array([sum(511 << (9 * (6 - j)) for j in range(d)) for d in range(8)], np.int64)[np.minimum(left, 7)]
+    order = np.argsort(first)
+    # of equal ends the earlier string's comes first
+    at = np.flatnonzero(near_end[order])
+    few = order[at]
+    order[at] = few[np.lexsort((few, first[few]))]
     same = np.zeros(n, bool)  # equal to the one before
     same[1:] = (first[order[1:]] == first[order[:-1]]) & ~near_end[order[1:]] & ~near_end[order[:-1]]
     rank = np.empty(n, np.int64)
@@ -283,14 +282,16 @@ def repeated_runs(source: DataFrame, span: int, gram: int, places: bool = True)
     long = source.filter(F.octet_length("text") >= span)
     key = ["scope", "h", "s"]
     found = saved(_anchored(long, span, gram), "anchors")
-    at = F.struct("key_id", "key_text", "place")
-    contexts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("at"), F.max(at).alias("last"), F.min("back").alias("back"), F.min("ahead").alias("ahead"))
-    apart = F.col("times") > 1 if places else (F.col("at.key_id") != F.col("last.key_id")) | (F.col("at.key_text") != F.col("last.key_text"))
-    contexts = saved(contexts.select(*key, "times", "at", "back", "ahead", apart.alias("apart")), "contexts")
-    often = contexts.groupBy("scope", "h").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1").drop("all")
-    contexts = saved(contexts.join(often, ["scope", "h"]), "repeated_contexts")
+    # any occurrence represents its context (the columns of `first` come from one row); a hash holds its scope
+    one = [F.first(c).alias(c) for c in ("scope", "key_id", "key_text", "place", "back", "ahead")]
+    ends = [] if places else [F.min("key_id").alias("i0"), F.max("key_id").alias("i1"), F.min("key_text").alias("t0"), F.max("key_text").alias("t1")]
+    contexts = found.groupBy("h", "s").agg(F.count(F.lit(1)).alias("times"), *one, *ends)
+    apart = F.col("times") > 1 if places else F.expr("i0 <> i1 or t0 <> t1")
+    contexts = saved(contexts.select(*key, "times", "key_id", "key_text", "place", "back", "ahead", apart.alias("apart")), "contexts")
+    often = contexts.groupBy("h").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1").drop("all")
+    contexts = saved(contexts.join(often, "h"), "repeated_contexts")
     parts = F.ceil(F.col("kinds") / PART).cast("int")
-    wanted = contexts.filter("kinds > 1").select("at.*", *key, "back", "ahead", F.pmod(F.xxhash64("s"), parts).cast("int").alias("part"), parts.alias("parts"))
+    wanted = contexts.filter("kinds > 1").select("key_id", "key_text", "place", *key, "back", "ahead", F.pmod(F.xxhash64("s"), parts).cast("int").alias("part"), parts.alias("parts"))
     wanted = wanted.groupBy("key_id", "key_text").agg(F.collect_list(F.struct("place", *key, "back", "ahead", "part", "parts")).alias("wanted"))
     one = long.join(wanted, ["key_id", "key_text"])
     lost = saved(_sorted_shards(_contexts(one), span, places), "lost")
@@ -309,7 +310,7 @@ def lost_bytes(size: int, lost) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, span: int = 400, gram: int = 64, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 400, gram: int = 240, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row (and kept, the bytes, if asked).
 
     A null text is empty; nothing of a text under ``span`` bytes goes. Two rows with one id and
