@@ -24,7 +24,7 @@ _LATIN = re.compile(f" ?[{_LETTER}]+| ?[{_DIGIT}]+|'(?:[stmd]|re|ve|ll)| ?[^{_WH
 _BEYOND = re.compile("[^\x00-\u024f]")
 
 #: A worker forgets its cached pre-tokens beyond this many and starts anew: memory stays bounded.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: Pre-tokens longer than this aren't kept.
 CACHE_LENGTH = 64
 

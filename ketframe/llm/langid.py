@@ -30,7 +30,9 @@ words_of = re.compile(r"[^\W\d_]+").findall
 ALPHABET = 4096
 _START, _END = 1, 2
 #: A worker forgets its words beyond this many.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+#: Characters of text scored together (more if one text is longer).
+SLICE = 2_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -237,7 +239,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("lang string, score double, entropy double, rejected boolean")
     def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield sent.value.predict(list(part))
+            texts, sizes = part.tolist(), part.str.len().fillna(0).cumsum().floordiv(SLICE).tolist()
+            cuts = [0, *[i for i in range(1, len(texts)) if sizes[i] != sizes[i - 1]], len(texts)]
+            yield pd.concat([sent.value.predict(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], ignore_index=True)
 
     out = docs.drop("lang_pred", "score", "cross_entropy", "rejected").withColumn("_found", label(F.col(text)))
     return out.select(*[c for c in out.columns if c != "_found"], F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"), F.col("_found.entropy").alias("cross_entropy"), F.col("_found.rejected").alias("rejected"))
