@@ -13,10 +13,13 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application.
+    """Send this package to the Python workers, once per application, and keep their Arrow batches small.
 
-    Workers may start in any folder, so what a UDF imports has to travel with the job.
+    Workers may start in any folder, so what a UDF imports has to travel with the job. A batch is
+    held several times over (off the heap, in Arrow, as Python strings), so 8 MB do, unless the session says otherwise.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
