@@ -239,7 +239,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("lang string, score double, entropy double, rejected boolean")
     def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            texts, sizes = part.tolist(), part.str.len().fillna(0).cumsum().floordiv(SLICE).tolist()
+            texts = part.tolist()
+            sizes = (np.cumsum([len(t or "") for t in texts]) // SLICE).tolist()
             cuts = [0, *[i for i in range(1, len(texts)) if sizes[i] != sizes[i - 1]], len(texts)]
             yield pd.concat([sent.value.predict(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], ignore_index=True)
 
