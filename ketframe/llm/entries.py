@@ -15,8 +15,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sounds = chroma.played(_read(spark, sf_dir, "embeddings"))
-    return chroma.align(chroma.fingerprints(sounds, chroma.learn_cuts(sounds)))
+    vectors, column = _read(spark, sf_dir, "embeddings"), {"pcm": "embedding", "decode": chroma.sound_of}
+    return chroma.align(chroma.fingerprints(vectors, chroma.learn_cuts(vectors, **column), rec_id="vec_id", **column))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
