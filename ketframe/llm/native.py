@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,6 +25,13 @@ def row_key(doc_id: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("key_id"), F.xxhash64(F.col(doc_id).isNull(), F.col(text)).alias("key_text")]
 
 
+def smallest_hashes(df: DataFrame, column: str, n: int) -> list[Row]:
+    """The ``n`` rows of smallest hash, a sample for fitting. A first count leaves about twice as many to be sent at all."""
+    key, parts = F.pmod(F.xxhash64(F.lit(17), column), F.lit(1_000_003)), 1_000_003
+    share = min(1.0, (2 * n + 40) / max(1, df.count()))
+    return sorted(df.withColumn("_key", key).filter(F.col("_key") < share * parts).collect(), key=lambda r: (r["_key"], str(r[column])))[:n]
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` (a saved table) marked for broadcast if it has at most ``rows`` rows; beyond that the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ketframe.llm.native import smallest_hashes
 from ketframe.session import ship
 
 _NAMES = r"(?:api|app|auth|access|aws|client|db|private|refresh|secret|session|signing|user)?[_-]?(?:key|token|secret|passw(?:or)?d|passwd|pwd|credentials?|bearer)"
@@ -236,7 +237,8 @@ class Scanner:
 
 def learn(docs: DataFrame, sample: int = 300, longest: int = 20_000, findings: Sequence[tuple[str, str, int]] | None = None, text: str = "text") -> Scanner:
     """Words of at most ``sample`` whole documents of at most ``longest`` characters (those of smallest hash), and the forest."""
-    rows = docs.select(F.col(text).alias("t")).filter(F.col("t").isNotNull() & (F.length("t") <= longest)).orderBy(F.xxhash64("t")).limit(sample).collect()
+    usable = docs.select(F.col(text).alias("t")).filter(F.col("t").isNotNull() & (F.length("t") <= longest))
+    rows = smallest_hashes(usable, "t", sample)
     words = Counter(w for r in rows for w in re.findall(r"[^\W\d_]{2,}", r["t"].lower()))
     return Scanner(words, findings)
 
