@@ -102,7 +102,9 @@ def hproj(states: DataFrame, terms: DataFrame) -> DataFrame:
     known = distinct_states(states)
     asked = _dealt(known.select(F.col("s").alias("r")), group_by_x(terms)).withColumn("c", F.col("r").bitwiseXOR(F.col("x")))
     found = asked.join(known.select(F.col("s").alias("c")), "c")
-    return found.select("r", "c", *_diagonal(F.col("r"))).filter("re <> 0 or im <> 0")
+    # zero entries go inside a generator: as a filter they would be worked out before the look-up, for all pairs that it drops
+    entry = F.filter(F.array(F.struct(*_diagonal(F.col("r")))), lambda e: (e["re"] != 0) | (e["im"] != 0))
+    return found.select("r", "c", F.inline(entry))
 
 
 def apply_coo(matrix: DataFrame, vector: DataFrame) -> DataFrame:
