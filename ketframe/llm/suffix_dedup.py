@@ -10,8 +10,8 @@ square of the corpus, so shards are made by content:
    have this anchor) is equal are one string with a count; a count of two settles it.
 3. Different contexts of one anchor go to one shard. A shard sorts its suffixes by Larsson-Sadakane
    refinement, reads common prefixes by Kasai's recurrence, and marks starts of repeated strings. An
-   anchor with many contexts is split into several parts; each pair of parts is a shard, and the
-   second part's suffixes are merged into the first's array by binary search.
+   anchor with many contexts is split into several parts; each is a shard, and between two of them the
+   second's runs of equal strings are looked up in the first's array by binary search.
 4. What a context loses holds for all its occurrences; documents take the union.
 
 A large repeated group therefore never meets in one task, and a document's text moves twice.
@@ -166,26 +166,78 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, len
     return out
 
 
-def repeated_starts(strings: list[bytes], codes: np.ndarray, span: int, places: bool = True) -> list[np.ndarray]:
-    """For each string, the places where a string of ``span`` bytes starts that also starts at another ``code``.
+class SuffixArray:
+    """Sorted suffixes of some strings, in runs that agree in their first ``span`` bytes.
 
     ``codes[k] + place`` names a place of the corpus: overlapping contexts of one document hold the
     same places, which aren't repeats. Without ``places`` a code alone counts.
     """
-    lengths = np.fromiter(map(len, strings), np.int64, len(strings)) + 1
-    starts = np.cumsum(lengths) - lengths
-    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
-    text[starts + lengths - 1] = 0
-    order, _ = suffix_ranks(text, int(lengths.max(initial=1)))  # in full: Kasai's recurrence needs it
-    prefix = common_prefixes(text, order, starts, lengths, span)
-    name = np.repeat(codes - starts, lengths) + np.arange(text.size) if places else np.repeat(codes, lengths)
-    run = np.flatnonzero(prefix[order] < span)  # a run of equal strings begins
-    sorted_names = name[order]
-    low, high = np.minimum.reduceat(sorted_names, run), np.maximum.reduceat(sorted_names, run)
-    size = np.diff(np.append(run, text.size))
-    hit = np.zeros(text.size, bool)
-    hit[order] = np.repeat(low != high, size)
-    return [np.flatnonzero(hit[s : s + n]) for s, n in zip(starts, lengths, strict=True)]
+
+    def __init__(self, strings: list[bytes], codes: np.ndarray, span: int, places: bool):
+        self.span, self.lengths = span, np.fromiter(map(len, strings), np.int64, len(strings)) + 1
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+        self.text[self.starts + self.lengths - 1] = 0
+        self.order, _ = suffix_ranks(self.text, int(self.lengths.max(initial=1)))  # in full: Kasai's recurrence needs it
+        prefix = common_prefixes(self.text, self.order, self.starts, self.lengths, span)
+        self.name = np.repeat(codes - self.starts, self.lengths) + np.arange(self.text.size) if places else np.repeat(codes, self.lengths)
+        self.run = np.flatnonzero(prefix[self.order] < span)
+        named = self.name[self.order]
+        self.low, self.high = np.minimum.reduceat(named, self.run), np.maximum.reduceat(named, self.run)
+
+    def places_of(self, hit_runs: np.ndarray) -> list[np.ndarray]:
+        """For each string, the places of suffixes in those runs."""
+        hit = np.zeros(self.text.size, bool)
+        hit[self.order] = np.repeat(hit_runs, np.diff(np.append(self.run, self.text.size)))
+        return [np.flatnonzero(hit[s : s + n]) for s, n in zip(self.starts, self.lengths, strict=True)]
+
+    def long_heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of suffixes with at least ``span`` bytes, in order, and where each one's first suffix starts."""
+        left = np.repeat(self.starts + self.lengths - 1, self.lengths) - np.arange(self.text.size)
+        head = self.order[self.run]
+        long = np.flatnonzero(left[head] >= self.span)
+        return long, head[long]
+
+
+def repeated_starts(strings: list[bytes], codes: np.ndarray, span: int, places: bool = True) -> list[np.ndarray]:
+    """For each string, the places where a string of ``span`` bytes starts that also starts under another name."""
+    one = SuffixArray(strings, codes, span, places)
+    return one.places_of(one.low != one.high)
+
+
+def shared_starts(one: SuffixArray, two: SuffixArray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The same between two shards: each run of the second is looked up among the first's by binary search."""
+    span = one.span
+    runs, heads = one.long_heads()
+    asked, starts = two.long_heads()
+    low, high = np.zeros(starts.size, np.int64), np.full(starts.size, heads.size)
+
+    def order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1: strings of ``span`` bytes at a of the first text against those at b of the second."""
+        out = np.zeros(a.size, np.int8)
+        open_at = np.arange(a.size)
+        for k in range(span):
+            x, y = one.text[a[open_at] + k], two.text[b[open_at] + k]
+            out[open_at] = np.sign(x - y)
+            open_at = open_at[x == y]
+            if not open_at.size:
+                break
+        return out
+
+    live = np.flatnonzero(low < high)
+    while live.size:
+        mid = (low[live] + high[live]) // 2
+        less = order(heads[mid], starts[live]) < 0
+        low[live[less]], high[live[~less]] = mid[less] + 1, mid[~less]
+        live = live[low[live] < high[live]]
+    met = np.flatnonzero(low < heads.size)
+    met = met[order(heads[low[met]], starts[met]) == 0]
+    mine, theirs = runs[low[met]], asked[met]
+    apart = np.minimum(one.low[mine], two.low[theirs]) != np.maximum(one.high[mine], two.high[theirs])
+    hit_one, hit_two = np.zeros(one.run.size, bool), np.zeros(two.run.size, bool)
+    hit_one[mine[apart]] = True
+    hit_two[theirs[apart]] = True
+    return one.places_of(hit_one), two.places_of(hit_two)
 
 
 def _spans(starts: np.ndarray, span: int, shift: int) -> list[tuple[int, int]]:
@@ -262,9 +314,17 @@ def _sorted_shards(contexts: DataFrame, span: int, places: bool) -> DataFrame:
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
         document = rows.groupby(["key_id", "key_text"], sort=False).ngroup().to_numpy().astype(np.int64)
-        found = repeated_starts(rows["body"].tolist(), (document << 40) + places * rows["first"].to_numpy(), span, places)
-        runs = [_spans(x, span, -back) for x, back in zip(found, rows["back"].tolist(), strict=True)]
-        out = [(h, s, a, b) for h, s, rs in zip(rows["h"], rows["s"], runs, strict=True) for a, b in rs]
+        rows = rows.assign(code=(document << 40) + places * rows["first"].to_numpy())
+        same = rows["one"] == rows["two"]
+        found = []
+        if same.any():
+            found.append((rows[same], repeated_starts(rows.loc[same, "body"].tolist(), rows.loc[same, "code"].to_numpy(), span, places)))
+        for _, pair in rows[~same].groupby(["h", "one", "two"], sort=False):
+            sides = [pair[pair["part"] == pair[c].iloc[0]] for c in ("one", "two")]
+            if all(len(s) for s in sides):
+                arrays = [SuffixArray(s["body"].tolist(), s["code"].to_numpy(), span, places) for s in sides]
+                found += zip(sides, shared_starts(*arrays), strict=True)
+        out = [(h, s, a, b) for some, starts in found for h, s, back, x in zip(some["h"], some["s"], some["back"], starts, strict=True) for a, b in _spans(x, span, -back)]
         return pd.DataFrame(out, columns=["h", "s", "a", "b"]).astype("int64")
 
     # a pair of parts is a shard; with one part that is the part itself
