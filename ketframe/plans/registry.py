@@ -124,9 +124,9 @@ def states_pack(spark, d):
     return subspace.pack(subspace.unpack(subspace.distinct_states(fixtures.states_sparse12(spark, d)), 12).drop("s"))
 
 
-@_query(f"SELECT {B('a.s', 'dst')}, {B('b.s', 'src')} FROM ({sql.STATES12}) a LEFT JOIN ({sql.STATES12}) b ON b.s = xor(a.s, 6)")
+@_query(f"SELECT {B('a.s', 'dst')}, {B('coalesce(b.s, -1)', 'src')} FROM ({sql.STATES12}) a LEFT JOIN ({sql.STATES12}) b ON b.s = xor(a.s, 6)")
 def xsource(spark, d):
-    return subspace.xsource(subspace.distinct_states(fixtures.states_sparse12(spark, d)), 6)
+    return subspace.xsource(subspace.distinct_states(fixtures.states_sparse12(spark, d)), 6).select("dst", F.coalesce("src", F.lit(-1).cast("long")).alias("src"))
 
 
 _MASKS = f"SELECT DISTINCT x FROM ({sql.TERMS12})"
