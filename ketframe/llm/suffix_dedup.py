@@ -34,7 +34,7 @@ from ketframe.session import saved, ship
 #: Contexts of one anchor in a part; an anchor with more is split.
 PART = 400
 #: Bytes of contexts that are sorted together (whole anchors, so somewhat more).
-SHARD = 2_000_000
+SHARD = 1_000_000
 #: Bytes of text hashed together.
 BATCH = 1 << 19
 
@@ -386,14 +386,20 @@ def remove_repeats(docs: DataFrame, span: int = 400, gram: int = 240, doc_id: st
     def strip(texts: pd.Series, losses: pd.Series) -> pd.DataFrame:
         out = []
         for t, loss in zip(texts, losses, strict=True):
+            if t is None or loss is None:
+                out.append((None, None, None, None))
+                continue
             body = t.encode()
             gone = lost_bytes(len(body), loss)
             kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
             spans = int(np.sum(np.diff(gone.astype(np.int8), prepend=0) == 1))
             out.append((len(body) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-        return pd.DataFrame(out, columns=["n_removed", "n_spans", "sha", "kept"])
+        return pd.DataFrame(out, columns=["n_removed", "n_spans", "sha", "kept"]).astype({"n_removed": "Int64", "n_spans": "Int64"})
 
+    # texts that lose nothing don't go to Python
     body = F.coalesce("text", F.lit(""))
-    hit = joined.filter("lost is not null").withColumn("x", strip("text", "lost")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "x.n_removed", "x.n_spans", F.col("x.sha").alias("kept_sha256"), *([F.col("x.kept").alias("kept")] if with_text else []))
-    rest = joined.filter("lost is null").select("doc_id", F.octet_length(body).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"), *([F.encode(body, "UTF-8").alias("kept")] if with_text else []))
-    return hit.unionByName(rest)
+    done = joined.withColumn("x", strip(F.when(F.col("lost").isNotNull(), F.col("text")), F.col("lost")))
+    whole = F.when(F.col("lost").isNull(), F.sha2(body, 256))
+    kept = [F.coalesce("x.kept", F.encode(body, "UTF-8")).alias("kept")] if with_text else []
+    zero = F.lit(0).cast("long")
+    return done.select("doc_id", F.octet_length(body).cast("long").alias("n_bytes"), F.coalesce("x.n_removed", zero).alias("n_removed"), F.coalesce("x.n_spans", zero).alias("n_spans"), F.coalesce("x.sha", whole).alias("kept_sha256"), *kept)
