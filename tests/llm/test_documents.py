@@ -364,3 +364,33 @@ def test_kneser_ney_probabilities_sum_to_less_than_one():
 @pytest.mark.parametrize("run", [lambda d: token_counts.count_tokens(d, BPE), lambda d: packing.pack(d, BPE), minhash.near_duplicates, line_dedup.dedup_lines, suffix_dedup.remove_repeats, lambda d: decontaminate.contamination(d, d.select(F.col("doc_id").alias("item_id"), "text"))])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_at_the_stated_similarity_meet(spark, prose):
+    """Up to a fifth of the words changed, left out or added, evenly or at random, at many lengths."""
+    import random
+
+    rng, texts = random.Random(4), {}
+    for i in range(60):
+        line = prose(500 + i, [5, 6, 9, 10, 14, 20, 33, 60, 100, 150][i % 10]).split()
+        other = list(line)
+        for j in range(len(line) // 5):
+            at = (5 * j + 2) % len(other) if i % 2 else rng.randrange(len(other))
+            other[at : at + 1] = [["changed"], [], [other[at], "more"]][rng.randrange(3) if i % 3 else 0]
+        texts[2 * i], texts[2 * i + 1] = line, other
+    gone = set()
+    for a, b in itertools.combinations(texts, 2):
+        if edit_distance(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b])) + 1e-9:
+            gone.add(b)
+    assert len(gone) > 40
+    out = line_dedup.dedup_lines(spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string"), least_words=1).collect()
+    assert {r["doc_id"] for r in out if r["n_removed"]} == gone
