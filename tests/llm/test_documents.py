@@ -394,3 +394,11 @@ def test_lines_at_the_stated_similarity_meet(spark, prose):
     assert len(gone) > 40
     out = line_dedup.dedup_lines(spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string"), least_words=1).collect()
     assert {r["doc_id"] for r in out if r["n_removed"]} == gone
+
+
+def test_short_lines_repeat_too(spark, monkeypatch):
+    """The query keeps one of equal lines of any length over zero; blank lines stay."""
+    df = spark.createDataFrame([(1, "Share\n\nHome page"), (2, "share!\n\nhome page\nhome pages"), (3, "SHARE")], "doc_id long, text string")
+    monkeypatch.setattr(entries, "_read", lambda *a: df)
+    out = {r["doc_id"]: r["n_removed"] for r in entries.op5_line_dedup(spark, "").collect()}
+    assert out == {1: 0, 2: 2, 3: 1}
