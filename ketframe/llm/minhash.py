@@ -6,8 +6,8 @@ retained values give candidates, union sketches estimate their similarity, and t
 What keeps lists short, with nothing dropped:
 
 * Equal sets become one class before anything is compared.
-* Two sets with similarity t share at least m of k retained values (for sketches that hold their whole
-  set this is exact, for others it fails with a chance under 1e-5 for a pair at the threshold). So a
+* Two sets with similarity t share at least m of k retained values (if one of the two sketches holds its
+  whole set this is exact, for others it fails with a chance under 1e-5 for a pair at the threshold). So a
   document needs to stand only in the lists of its k - m + 1 rarest values: what thousands share,
   such as a license passage, brings only those together that consist mostly of it.
 * In a list, all are first compared with the one that leads it; only members that lie in different
@@ -138,7 +138,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, k: int =
     values = nodes.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     common = values.join(often, "v")
-    need = F.when(F.col("size") < k, F.ceil(F.col("size") * percent / 100)).otherwise(shared)
+    # a set below k may meet one whose sketch isn't its whole set, unless that would be too large for it
+    most = F.ceil(F.col("size") * percent / 100)
+    need = F.when(F.col("size") * 100 < k * percent, most).when(F.col("size") < k, F.least(most, F.lit(shared))).otherwise(shared)
     ranked = common.groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     reach = (F.col("size") - need + 1) - (F.col("size") - F.size("vs"))
     lists = saved(ranked.withColumn("reach", reach).filter("reach > 0").select("node", "n", "size", F.size("vs").alias("shared"), F.explode(F.expr("slice(vs, 1, cast(reach as int)).v")).alias("v")), "lists")

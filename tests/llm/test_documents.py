@@ -131,6 +131,17 @@ def test_a_family_of_near_copies(spark, prose):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == want
 
 
+def test_sets_around_the_size_of_a_sketch(spark, prose):
+    """Sets of 30 and 31 shingles within sets of 39 to 41."""
+    texts = {}
+    for i in range(60):
+        words = prose(900 + i, 45).split()
+        texts[2 * i], texts[2 * i + 1] = " ".join(words[: 34 + i % 2]), " ".join(words[: 43 + i % 3])
+    want = brute_components(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == want
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=40))
 def test_components(spark, links):
