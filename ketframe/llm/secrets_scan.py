@@ -34,10 +34,10 @@ from ketframe.session import ship
 _NAMES = r"(?:api|app|auth|access|aws|client|db|private|refresh|secret|session|signing|user)?[_-]?(?:key|token|secret|passw(?:or)?d|passwd|pwd|credentials?|bearer)"
 #: kind -> pattern; the candidate is group 1. Earlier kinds win where two overlap.
 KINDS = [
-    ("private_key", re.compile(r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?)")),
+    ("private_key", re.compile(r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?)")),
     ("shaped", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[baprs]-[A-Za-z0-9-]{10,}|sk[-_](?:live_|test_|proj-)?[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|AIza[0-9A-Za-z_-]{35})")),
-    ("assigned", re.compile(rf"(?i)(?<![a-z0-9]){_NAMES}[\"']?\s{{0,3}}(?:[:=]|=>|:=)\s{{0,3}}[\"']?([^\s\"'`,;<>]{{6,200}})")),
-    ("token", re.compile(r"(?<![A-Za-z0-9+/_=.-])((?=[A-Za-z+/_=.-]{0,120}[0-9])[A-Za-z0-9+/_=.-]{20,200})(?![A-Za-z0-9+/_=.-])")),
+    ("assigned", re.compile(rf"(?i)(?<![a-z0-9]){_NAMES}[\"']?\s{{0,3}}(?:[:=]|=>|:=)\s{{0,3}}[\"']?([^\s\"'`,;<>]{{6,}}+)")),
+    ("token", re.compile(r"(?<![A-Za-z0-9+/_=.-])((?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{20,}+)")),
 ]
 _CUE = re.compile(rf"(?i){_NAMES}")
 _DECOY = re.compile(r"(?i)example|sample|placeholder|changeme|dummy|your[_-]|xxxx|test|fake|<|\$\{|\{\{")
@@ -89,15 +89,14 @@ class Words:
 
 
 def features(text: str, kind: int, a: int, b: int, path: str, words: Words) -> list[float]:
-    s = text[a:b]
-    part = s[:200]
+    part = text[a:b]
     before, beside = text[max(0, a - BESIDE) : a], text[max(0, a - BESIDE) : a] + " " + text[b : b + BESIDE]
     n = len(part)
     counts = Counter(part)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     share = lambda ok: sum(map(ok, part)) / n
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in part]
-    return [min(len(s), 400), share(str.isdigit), share(str.isupper), share(str.islower), 1 - share(str.isalnum), entropy, float(all(c in "0123456789abcdefABCDEF" for c in part)), sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1), words.transitions(part), words.coverage(part), float(bool(_CUE.search(before))), float(bool(_HASHED.search(before))), float(bool(_DECOY.search(part))) + float(bool(_DECOY.search(beside))), float(before[-1:] in ("'", '"', "`")), float(bool(re.search(r"[:=]\s*[\"'`]?$", before))), float(bool(_CODE.search(path))), float(bool(_TESTED.search(path))), float(kind)]
+    return [float(n), share(str.isdigit), share(str.isupper), share(str.islower), 1 - share(str.isalnum), entropy, float(all(c in "0123456789abcdefABCDEF" for c in part)), sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1), words.transitions(part), words.coverage(part), float(bool(_CUE.search(before))), float(bool(_HASHED.search(before))), float(bool(_DECOY.search(part))) + float(bool(_DECOY.search(beside))), float(before[-1:] in ("'", '"', "`")), float(bool(re.search(r"[:=]\s*[\"'`]?$", before))), float(bool(_CODE.search(path))), float(bool(_TESTED.search(path))), float(kind)]
 
 
 class Forest:

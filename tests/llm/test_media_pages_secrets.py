@@ -162,6 +162,17 @@ def test_secret_scan_of_awkward_rows(spark, documents):
     assert secrets_scan.Scanner(Counter(), findings=[]).scan(["token = 'abcdef123'"], [None])[0]
 
 
+def test_long_candidates_are_whole():
+    """No upper bound on a candidate's length, nor on where its first digit stands."""
+    token, late, value, body = "aB3" * 200, "abcdE" * 60 + "7", "p4$" * 150, "QUJD0" * 4000
+    key = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+    text = f"see {token} and {late} here\npassword = '{value}'\n{key}\n"
+    assert [text[a:b] for _, a, b in secrets_scan.candidates(text)] == [token, late, value, key]
+    words = secrets_scan.Words(Counter())
+    long = "a" * 300 + "1" * 300
+    assert secrets_scan.features(long, 3, 0, 600, "", words)[:2] == [600, 0.5]
+
+
 # --- pipeline -----------------------------------------------------------------------------------------
 
 
