@@ -303,3 +303,17 @@ def test_state_operators(spark):
     with pytest.raises(ValueError):
         subspace.unpack(states, 63)
     assert subspace.hproj(states.limit(0), pauli_sum.from_paulisum(spark, ["X"], [1.0])).count() == 0
+
+
+def test_documents_of_several_lines(spark):
+    ket = np.array([1, -1, 1j, 1, 2])
+    text = pretty.qprint(spark, ket, output="text", terms_per_row=2, amp_norm=(1, "c"), lhs_label="a")
+    assert text == "|a> = c (|0> - |1>\n" + " " * 9 + " + i|2> + |3>\n" + " " * 9 + " + 2|4>)"
+    latex = pretty.qprint(spark, ket, terms_per_row=2, amp_norm=(1, "c"))
+    assert latex == r"\begin{split} c &  \left( | 0 \rangle - | 1 \rangle \right. \\ &  + i| 2 \rangle + | 3 \rangle \\ & \left.  + 2| 4 \rangle \right) \end{split}"
+    assert pretty.qprint(spark, np.array([2, 2]), amp_norm=(2, "c"), env=None) == r"c  \left( | 0 \rangle + | 1 \rangle \right)"
+    # many objects at once
+    rows = spark.createDataFrame([(k, r, 0, 1.0, 0.0) for k in (1, 2) for r in range(k + 1)], "id int, r int, c int, re double, im double")
+    style = pretty.Style()
+    got = pretty.documents(pretty.braket_lines(rows, pretty.ObjectType.KET, (4,), style, "text", ["id"]), "text", "v", keys=["id"])
+    assert {r["id"]: r["document"] for r in got.collect()} == {1: "v = |0> + |1>\n", 2: "v = |0> + |1> + |2>\n"}
