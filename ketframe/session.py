@@ -53,3 +53,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what no plan refers to any more: Spark deletes the shuffle files of frames that are garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete tables that ``saved`` wrote and nothing will read again."""
+    for df in frames:
+        for file in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
