@@ -23,6 +23,10 @@ _LETTER, _DIGIT, _WHITE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-
 _LATIN = re.compile(f" ?[{_LETTER}]+| ?[{_DIGIT}]+|'(?:[stmd]|re|ve|ll)| ?[^{_WHITE}{_LETTER}{_DIGIT}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 _BEYOND = re.compile("[^\x00-\u024f]")
 
+#: Byte-level vocabularies write bytes that aren't printable Latin-1 characters as U+0100 and on, in order (fixed values).
+_UNPRINTABLE = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_BYTES = {b: 0x100 + i for i, b in enumerate(_UNPRINTABLE)}
+
 #: A worker forgets its cached pre-tokens beyond this many and starts anew: memory stays bounded.
 CACHE_ENTRIES = 400_000
 #: Pre-tokens longer than this aren't kept.
@@ -42,6 +46,10 @@ class Bpe:
         self.any_find, self.latin_find, self.beyond = regex.compile(PATTERN).findall, _LATIN.findall, _BEYOND.search
         with open(path, encoding="utf-8") as f:
             added = json.load(f)["added_tokens"]
+        made = json.loads(self.tokenizer.to_str())
+        #: With nothing around the model but the byte-level pattern, its pre-tokens go to the model as they are.
+        self.bare = made["normalizer"] is None and made["post_processor"] is None and (made["pre_tokenizer"] or {}).items() >= {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items()
+        self.tokenize = self.tokenizer.model.tokenize
         #: Special strings are cut out before the pattern splits the rest, as the library does.
         self.special = {a["content"]: a["id"] for a in added}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -56,6 +64,9 @@ class Bpe:
         return self.any_find(text) if self.beyond(text) else self.latin_find(text)
 
     def ids(self, piece: str) -> list[int]:
+        """Ids of a pre-token or a special string."""
+        if self.bare and piece not in self.special:
+            return [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str]:
