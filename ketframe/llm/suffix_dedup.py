@@ -93,6 +93,32 @@ def anchors(texts: list[bytes], span: int, gram: int, scopes: np.ndarray | None
     return number, place - first, grams[place].view(np.int64), context.view(np.int64), back, ahead
 
 
+#: Bits of a place in a shard, so that two ranks and a place fit one sorted number.
+_PLACE_BITS = 21
+
+
+def _by(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Order of numbers of so many bits; sorted together with their places if both fit, which is several times faster."""
+    if bits + _PLACE_BITS < 64 and keys.size < 1 << _PLACE_BITS:
+        return np.sort((keys.astype(np.uint64) << np.uint64(_PLACE_BITS)) | np.arange(keys.size, dtype=np.uint64)).astype(np.int64) & ((1 << _PLACE_BITS) - 1)
+    return np.argsort(keys)
+
+
+def _heads(text: np.ndarray, left: np.ndarray, symbols: int, bits: int) -> np.ndarray:
+    """The first symbols of each suffix in one number; those behind the string's 0 count as 0."""
+    padded, first = np.concatenate([text, np.zeros(symbols - 1, np.int64)]), np.zeros(text.size, np.int64)
+    for j in range(symbols):
+        first = (first << bits) | padded[j : j + text.size]
+    cut = np.array([sum(((1 << bits) - 1) << (bits * (symbols - 1 - j)) for j in range(d)) for d in range(symbols + 1)], np.int64)
+    return first & cut[np.minimum(left, symbols)]
+
+
+def _left(text: np.ndarray) -> np.ndarray:
+    """Symbols from each place up to its string's 0."""
+    ends = np.flatnonzero(text == 0)
+    return np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(text.size)
+
+
 def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Larsson-Sadakane: suffixes in order of their first ``depth`` symbols, and each one's rank.
 
@@ -100,34 +126,32 @@ def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     its first symbols is unlike all others. Each round doubles the sorted length and sorts only
     groups that are still equal; a group's rank is the place of its first member.
     """
-    n = text.size
-    first = np.zeros(n, np.int64)
-    padded = np.concatenate([text, np.zeros(7, np.int64)])
-    for j in range(7):
-        first = (first << 9) | padded[j : j + n]
-    ends = np.flatnonzero(text == 0)
-    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # symbols before the string's 0
-    near_end = left < 7
-    # symbols behind the 0 don't count
-    first &= np.array([sum(511 << (9 * (6 - j)) for j in range(d)) for d in range(8)], np.int64)[np.minimum(left, 7)]
-    order = np.argsort(first)
+    n, left = text.size, _left(text)
+    used = np.zeros(int(text.max(initial=0)) + 1, np.int64)
+    used[text] = 1
+    used[0] = 0
+    dense = np.cumsum(used) * used  # 1 up for the symbols that occur
+    bits = max(1, int(dense.max(initial=0)).bit_length())
+    reach = max(1, (63 - _PLACE_BITS) // bits)
+    first = _heads(dense[text], left, reach, bits)
+    near_end = left < reach
+    order = _by(first, bits * reach)
     # of equal ends the earlier string's comes first
     at = np.flatnonzero(near_end[order])
     few = order[at]
     order[at] = few[np.lexsort((few, first[few]))]
+    sorted_first, ended = first[order], near_end[order]
     same = np.zeros(n, bool)  # equal to the one before
-    same[1:] = (first[order[1:]] == first[order[:-1]]) & ~near_end[order[1:]] & ~near_end[order[:-1]]
-    rank = np.empty(n, np.int64)
+    same[1:] = (sorted_first[1:] == sorted_first[:-1]) & ~ended[1:] & ~ended[:-1]
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
     rank[order] = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
-    reach = 7
     open_at = np.flatnonzero(same | np.concatenate([same[1:], [False]]))
+    wide = n.bit_length()
     while reach < depth and open_at.size:
         members = order[open_at]
-        head = rank[members]
         # an open group's members haven't met their 0 within `reach`, so this stays inside the text
-        then = rank[members + reach]
-        key = (head << 32) | then
-        by = np.argsort(key)
+        key = (rank[members].astype(np.int64) << wide) | rank[members + reach]
+        by = _by(key, 2 * wide)
         members, key = members[by], key[by]
         order[open_at] = members
         joined = np.zeros(open_at.size, bool)
@@ -142,25 +166,27 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, len
     """Kasai: for each suffix, symbols in common with the one before it in ``order``, up to ``cap``.
 
     The recurrence (a suffix that loses its first symbol loses at most one common symbol) runs along
-    all strings at once. Suffixes shorter than ``cap`` aren't asked for and stay 0.
+    all strings at once, seven symbols at a time. Suffixes shorter than ``cap`` aren't asked for and stay 0.
     """
-    n = text.size
+    n, left = text.size, _left(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int64)
-    padded = np.concatenate([text, np.zeros(cap + 8, np.int64)])
+    seven = np.concatenate([_heads(text, left, 7, 9), np.zeros(cap + 8, np.int64)])
     now = np.zeros(starts.size, np.int64)
     for step in range(int(lengths.max(initial=0)) - cap):
         live = np.flatnonzero(lengths > step + cap)
         i = starts[live] + step
         j = before[i]
+        most = np.minimum(np.minimum(left[i], left[j]), cap)  # no symbols in common behind a string's end
         have = np.where(j < 0, 0, np.maximum(now[live] - 1, 0))
-        going = np.flatnonzero((j >= 0) & (have < cap))
+        going = np.flatnonzero((j >= 0) & (have < most))
         while going.size:
-            p, q = padded[i[going] + have[going]], padded[j[going] + have[going]]
-            going = going[(p == q) & (p > 0)]
-            have[going] += 1
-            going = going[have[going] < cap]
+            unlike = seven[i[going] + have[going]] ^ seven[j[going] + have[going]]
+            top = (unlike & ~(unlike >> 1)).astype(np.float64)  # its highest bit is that of `unlike`, and it isn't rounded up
+            have[going] += np.where(unlike == 0, 7, 6 - (np.frexp(top)[1] - 1) // 9)
+            going = going[(unlike == 0) & (have[going] < most[going])]
+        have = np.where(j < 0, 0, np.minimum(have, most))
         now[live] = have
         out[i] = have
     return out
@@ -240,6 +266,32 @@ def shared_starts(one: SuffixArray, two: SuffixArray) -> tuple[list[np.ndarray],
     return one.places_of(hit_one), two.places_of(hit_two)
 
 
+def shared_parts(bodies: list[bytes], backs: np.ndarray, groups: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """What of each context can hold a repeat at all, as start and stop; stop 0 if nothing.
+
+    Contexts of one anchor (``groups``, at ``backs`` bytes from their start) that share a string of ``span``
+    bytes share it at one distance from the anchor, and so a shorter one at a distance that is a multiple
+    of the step. Only what others have the hash of goes to the suffix array.
+    """
+    sizes, step = np.fromiter(map(len, bodies), np.int64, len(bodies)), max(1, span // 50)
+    data, starts, width = np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(sizes) - sizes, span - step + 1
+    up, down = powers(data.size + 1)
+    total = np.zeros(data.size + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+    first, stop = sizes.copy(), np.zeros(sizes.size, np.int64)
+    group = mix(groups.astype(np.int64).view(np.uint64))
+    for away in range(-(int(backs.max(initial=0)) // step) * step, int((sizes - backs).max(initial=0)) - width + 1, step):
+        at = backs + away
+        ok = np.flatnonzero((at >= 0) & (at + width <= sizes))
+        a, at = starts[ok] + at[ok], at[ok]
+        key = mix(mix((total[a + width] - total[a]) * down[a]) ^ group[ok])
+        _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+        hit = times[which] > 1
+        first[ok[hit]] = np.minimum(first[ok[hit]], at[hit] - step + 1)
+        stop[ok[hit]] = np.maximum(stop[ok[hit]], at[hit] + width + step - 1)
+    return np.maximum(first, 0), np.minimum(stop, sizes)
+
+
 def _spans(starts: np.ndarray, span: int, shift: int) -> list[tuple[int, int]]:
     """Half-open runs covered by strings of ``span`` bytes at ``starts`` (ascending), moved by ``shift``."""
     if not starts.size:
@@ -313,6 +365,10 @@ def _sorted_shards(contexts: DataFrame, span: int, places: bool) -> DataFrame:
                 yield shard(rows.iloc[a:b])
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = shared_parts(rows["body"].tolist(), rows["back"].to_numpy(), rows["h"].to_numpy(), span)
+        some = b > 0
+        rows, a, b = rows[some], a[some], b[some]
+        rows = rows.assign(body=[x[i:j] for x, i, j in zip(rows["body"], a, b, strict=True)], back=rows["back"] - a, first=rows["first"] + a)
         document = rows.groupby(["key_id", "key_text"], sort=False).ngroup().to_numpy().astype(np.int64)
         rows = rows.assign(code=(document << 40) + places * rows["first"].to_numpy())
         same = rows["one"] == rows["two"]
