@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ketframe.operators import subspace
-from ketframe.session import saved, ship
+from ketframe.session import forget, saved, ship
 
 #: Entries of one matrix up to which a worker solves it (some hundred MB).
 LOCAL_ENTRIES = 5_000_000
@@ -174,7 +174,8 @@ def ground_state(matrix: DataFrame | Callable[[DataFrame], DataFrame], start: Da
             return [re, im]
 
         new = [*mixed(("x", "r", "p")), *mixed(("ax", "ar", "ap")), *mixed(("r", "p")), *mixed(("ar", "ap"))]
-        state = saved(full.select("s", *[e.alias(f"{a}_{b}") for e, (a, b) in zip(new, [(a, b) for a in names for b in ("re", "im")], strict=True)]), "state")
+        before, state = state, saved(full.select("s", *[e.alias(f"{a}_{b}") for e, (a, b) in zip(new, [(a, b) for a in names for b in ("re", "im")], strict=True)]), "state")
+        forget(before, full)
     return theta, state.select("s", F.col("x_re").alias("re"), F.col("x_im").alias("im")), iteration
 
 
@@ -183,11 +184,13 @@ def eigenvalue_2x2(a: str, d: str, b_re: str, b_im: str):
     return F.expr(f"({a} + {d}) / 2 - sqrt(pow(({a} - {d}) / 2, 2) + {b_re} * {b_re} + {b_im} * {b_im})")
 
 
-def eigenvalue_3x3(a: str, b: str, c: str, d: str, e: str, f: str):
-    """The lowest eigenvalue of the symmetric [[a, d, e], [d, b, f], [e, f, c]] by the cosine form of Cardano's solution."""
+def eigenvalue_3x3(a: str, b: str, c: str, d: str, e: str, f: str, d_im: str = "0e0", e_im: str = "0e0", f_im: str = "0e0"):
+    """The lowest eigenvalue of the Hermitian [[a, d, e], [d*, b, f], [e*, f*, c]] by the cosine form of Cardano's solution."""
     q = f"(({a} + {b} + {c}) / 3)"
-    p = f"sqrt((pow({a} - {q}, 2) + pow({b} - {q}, 2) + pow({c} - {q}, 2) + 2 * ({d} * {d} + {e} * {e} + {f} * {f})) / 6)"
-    det = f"(({a} - {q}) * (({b} - {q}) * ({c} - {q}) - {f} * {f}) - {d} * ({d} * ({c} - {q}) - {f} * {e}) + {e} * ({d} * {f} - ({b} - {q}) * {e}))"
+    dd, ee, ff = (f"({x} * {x} + {y} * {y})" for x, y in ((d, d_im), (e, e_im), (f, f_im)))
+    p = f"sqrt((pow({a} - {q}, 2) + pow({b} - {q}, 2) + pow({c} - {q}, 2) + 2 * ({dd} + {ee} + {ff})) / 6)"
+    around = f"({e} * ({d} * {f} - {d_im} * {f_im}) + {e_im} * ({d} * {f_im} + {d_im} * {f}))"  # real part of d f e*
+    det = f"(({a} - {q}) * ({b} - {q}) * ({c} - {q}) + 2 * {around} - ({a} - {q}) * {ff} - ({b} - {q}) * {ee} - ({c} - {q}) * {dd})"
     angle = f"acos(greatest(-1e0, least(1e0, {det} / (2 * pow({p}, 3))))) / 3"
     return F.expr(f"case when {p} = 0 then {q} else {q} + 2 * {p} * cos({angle} + 2 * pi() / 3) end")
 
@@ -224,9 +227,11 @@ def sqd(terms: DataFrame, states: DataFrame, options: SQDOptions | None = None):
         matrix = saved(subspace.hproj(known, terms), "hproj")
         if matrix.count() <= LOCAL_ENTRIES:
             one = matrix.select(F.lit(0).cast("long").alias("ham_id"), "*", F.lit(start).alias("start"))
-            row = solve_each(one, "ham_id", maxiter=options.maxiter, tol=options.tol).first()
+            solved = saved(solve_each(one, "ham_id", maxiter=options.maxiter, tol=options.tol).select("energy", "vector"), "solved")
+            row = solved.select("energy").first()
             energy = row["energy"] if row else 0.0
-            vector = spark.createDataFrame([(v["s"], v["re"], v["im"]) for v in row["vector"]] if row else [(start, 1.0, 0.0)], "s long, re double, im double")
+            # the vector stays on the executors
+            vector = solved.select(F.inline("vector")).select("s", "re", "im") if row else spark.createDataFrame([(start, 1.0, 0.0)], "s long, re double, im double")
         else:
             energy, vector, _ = ground_state(matrix, spark.createDataFrame([(start, 1.0, 0.0)], "s long, re double, im double"), options.maxiter, options.tol or 1e-12)
     return (energy, vector, known) if options.return_eigvec else energy

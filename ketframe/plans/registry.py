@@ -88,122 +88,128 @@ def tfim_terms(spark, d):
     return fixtures.terms_tfim(spark, 8, 2.0).select("x", "z", "re")
 
 
-_COUNTS = "SELECT l_partkey % 256 AS s, CAST(count(*) AS DOUBLE) AS re FROM lineitem WHERE l_linenumber = {} GROUP BY 1".format
+def _counted(key: str, of: str) -> str:
+    return f"SELECT {key} AS s, CAST({of} AS DOUBLE) AS re FROM lineitem GROUP BY 1"
 
 
-def _counts(spark, d, line: int) -> DataFrame:
-    return fixtures.table(spark, d, "lineitem").filter(F.col("l_linenumber") == line).groupBy((F.col("l_partkey") % 256).alias("s")).agg(F.count(F.lit(1)).cast("double").alias("re"), F.lit(0.0).alias("im"))
+#: two vectors over all line items: how many there are of a state, and the sum of their numbers
+_V0, _V1 = "count(*)", "sum(l_linenumber)"
 
 
-@_query(f"SELECT {B('xor(v.s, t.x)', 'i')}, {R(f'sum({sql.sign("t.z", "xor(v.s, t.x)")} * t.re * v.re)', 're')} FROM ({_COUNTS(1)}) v, ({sql.tfim(8, 1.5)}) t GROUP BY 1")
+def _vector(spark, d, key: str, of: str) -> DataFrame:
+    return fixtures.table(spark, d, "lineitem").groupBy(F.expr(key).alias("s")).agg(F.expr(of).cast("double").alias("re"), F.lit(0.0).alias("im"))
+
+
+@_query(f"SELECT {B('xor(v.s, t.x)', 'i')}, {R(f'sum({sql.sign("t.z", "xor(v.s, t.x)")} * t.re * v.re)', 're')} FROM ({_counted('l_partkey', _V0)}) v, ({sql.tfim(20, 1.5)}) t GROUP BY 1")
 def tfim_matvec(spark, d):
-    v = _counts(spark, d, 1).withColumnRenamed("s", "i")
-    return pauli_sum.matmul(fixtures.terms_tfim(spark, 8, 1.5), v).select("i", *_real("re"))
+    v = _vector(spark, d, "l_partkey", _V0).withColumnRenamed("s", "i")
+    return pauli_sum.matmul(fixtures.terms_tfim(spark, 20, 1.5), v).select("i", *_real("re"))
 
 
 # --- states and look-ups ----------------------------------------------------------------------------
 
 
-@_query(f"SELECT {B('s', 's')} FROM ({sql.STATES12})")
+@_query(f"SELECT {B('s', 's')} FROM ({sql.STATES})")
 def states_distinct(spark, d):
-    return subspace.distinct_states(fixtures.states_sparse12(spark, d))
+    return subspace.distinct_states(fixtures.states_orders(spark, d))
 
 
-@_query(f"SELECT {B('s', 's')}, {B('row_number() OVER (ORDER BY s) - 1', 'idx')} FROM ({sql.STATES12})")
+@_query(f"SELECT {B('s', 's')}, {B('row_number() OVER (ORDER BY s) - 1', 'idx')} FROM ({sql.STATES})")
 def state_index(spark, d):
-    return subspace.state_index(fixtures.states_sparse12(spark, d)).select(*_long("s", "idx"))
+    return subspace.state_index(fixtures.states_orders(spark, d)).select(*_long("s", "idx"))
 
 
-@_query(f"SELECT {B('s', 's')}, lpad(bin(s), 12, '0') AS bits FROM ({sql.STATES12})")
+@_query(f"SELECT {B('s', 's')}, lpad(bin(s), 40, '0') AS bits FROM ({sql.STATES})")
 def states_unpack(spark, d):
-    return subspace.unpack(subspace.distinct_states(fixtures.states_sparse12(spark, d)), 12).select("s", F.array_join(F.col("bits").cast("array<string>"), "").alias("bits"))
+    return subspace.unpack(subspace.distinct_states(fixtures.states_orders(spark, d)), 40).select("s", F.array_join(F.col("bits").cast("array<string>"), "").alias("bits"))
 
 
-@_query(f"SELECT {B('s', 's')} FROM ({sql.STATES12})")
+@_query(f"SELECT {B('s', 's')} FROM ({sql.STATES})")
 def states_pack(spark, d):
-    return subspace.pack(subspace.unpack(subspace.distinct_states(fixtures.states_sparse12(spark, d)), 12).drop("s"))
+    return subspace.pack(subspace.unpack(subspace.distinct_states(fixtures.states_orders(spark, d)), 40).drop("s"))
 
 
-@_query(f"SELECT {B('a.s', 'dst')}, {B('coalesce(b.s, -1)', 'src')} FROM ({sql.STATES12}) a LEFT JOIN ({sql.STATES12}) b ON b.s = xor(a.s, 6)")
+@_query(f"SELECT {B('a.s', 'dst')}, {B('coalesce(b.s, -1)', 'src')} FROM ({sql.STATES}) a LEFT JOIN ({sql.STATES}) b ON b.s = xor(a.s, 6)")
 def xsource(spark, d):
-    return subspace.xsource(subspace.distinct_states(fixtures.states_sparse12(spark, d)), 6).select("dst", F.coalesce("src", F.lit(-1).cast("long")).alias("src"))
+    return subspace.xsource(subspace.distinct_states(fixtures.states_orders(spark, d)), 6).select("dst", F.coalesce("src", F.lit(-1).cast("long")).alias("src"))
 
 
 _MASKS = f"SELECT DISTINCT x FROM ({sql.TERMS12})"
 
 
-@_query(f"SELECT {B('t.x', 'x')}, {B('a.s', 'dst')}, {B('b.s', 'src')} FROM ({sql.STATES12}) a, ({_MASKS}) t, ({sql.STATES12}) b WHERE b.s = xor(a.s, t.x)")
+@_query(f"SELECT {B('t.x', 'x')}, {B('a.s', 'dst')}, {B('b.s', 'src')} FROM ({sql.STATES}) a, ({_MASKS}) t, ({sql.STATES}) b WHERE b.s = xor(a.s, t.x)")
 def xsource_all(spark, d):
-    return subspace.xsource_all(subspace.distinct_states(fixtures.states_sparse12(spark, d)), fixtures.terms_part12(spark, d)).select("x", "dst", "src")
+    return subspace.xsource_all(subspace.distinct_states(fixtures.states_orders(spark, d)), fixtures.terms_part12(spark, d)).select("x", "dst", "src")
 
 
-@_query(f"SELECT {B('a.s', 's')} FROM ({sql.STATES12}) a WHERE EXISTS (SELECT 1 FROM ({sql.STATES12}) b WHERE b.s = xor(a.s, 6))")
+@_query(f"SELECT {B('a.s', 's')} FROM ({sql.STATES}) a WHERE EXISTS (SELECT 1 FROM ({sql.STATES}) b WHERE b.s = xor(a.s, 6))")
 def xsource_exists(spark, d):
-    return subspace.xsource_exists(subspace.distinct_states(fixtures.states_sparse12(spark, d)), 6)
+    return subspace.xsource_exists(subspace.distinct_states(fixtures.states_orders(spark, d)), 6)
 
 
-@_query(f"SELECT {B('s', 's')} FROM ({sql.STATES12}) INTERSECT SELECT {B('xor(s, 6)', 's')} FROM ({sql.STATES12})")
+@_query(f"SELECT {B('s', 's')} FROM ({sql.STATES}) INTERSECT SELECT {B('xor(s, 6)', 's')} FROM ({sql.STATES})")
 def states_intersect_shift(spark, d):
-    return subspace.shift_intersect(fixtures.states_sparse12(spark, d), 6)
+    return subspace.shift_intersect(fixtures.states_orders(spark, d), 6)
 
 
-@_query(f"SELECT {B('t.z', 'z')}, {B('a.s', 's')}, {B(sql.sign('t.z', 'a.s'), 'sign')} FROM ({sql.STATES12}) a, (SELECT DISTINCT z FROM ({sql.TERMS12})) t")
+@_query(f"SELECT {B('t.z', 'z')}, {B('a.s', 's')}, {B(sql.sign('t.z', 'a.s'), 'sign')} FROM ({sql.STATES}) a, (SELECT DISTINCT z FROM ({sql.TERMS12})) t")
 def diag_signs(spark, d):
-    return subspace.diag_signs(subspace.distinct_states(fixtures.states_sparse12(spark, d)), fixtures.terms_part12(spark, d)).select(*_long("z", "s", "sign"))
+    return subspace.diag_signs(subspace.distinct_states(fixtures.states_orders(spark, d)), fixtures.terms_part12(spark, d)).select(*_long("z", "s", "sign"))
 
 
-_DIAG = f"SELECT t.x AS x, a.s AS s, sum(t.re * {sql.sign('t.z', 'a.s')}) + 0e0 AS re, sum(t.im * {sql.sign('t.z', 'a.s')}) + 0e0 AS im FROM ({sql.STATES12}) a, ({sql.TERMS12}) t GROUP BY 1, 2"
+_DIAG = f"SELECT t.x AS x, a.s AS s, sum(t.re * {sql.sign('t.z', 'a.s')}) + 0e0 AS re, sum(t.im * {sql.sign('t.z', 'a.s')}) + 0e0 AS im FROM ({sql.STATES}) a, ({sql.TERMS12}) t GROUP BY 1, 2"
 
 
 @_query(f"SELECT {B('x', 'x')}, {B('s', 's')}, re, im FROM ({_DIAG})")
 def group_diagonal(spark, d):
-    return subspace.group_diagonal(subspace.distinct_states(fixtures.states_sparse12(spark, d)), fixtures.terms_part12(spark, d)).select("x", "s", *_real("re", "im"))
+    return subspace.group_diagonal(subspace.distinct_states(fixtures.states_orders(spark, d)), fixtures.terms_part12(spark, d)).select("x", "s", *_real("re", "im"))
 
 
 @_query(f"SELECT {B('s', 's')} FROM ({_DIAG}) WHERE x = 0 ORDER BY re, s LIMIT 1")
 def argmin_diag(spark, d):
-    return subspace.start_state(fixtures.states_sparse12(spark, d), fixtures.terms_part12(spark, d))
+    return subspace.start_state(fixtures.states_orders(spark, d), fixtures.terms_part12(spark, d))
 
 
 # --- the projected Hamiltonian --------------------------------------------------------------------
 
 
-@_query(f"SELECT {B('r', 'r')}, {B('c', 'c')}, re + 0e0 AS re, im + 0e0 AS im FROM ({sql.hproj(sql.STATES12, sql.TERMS12)})")
+@_query(f"SELECT {B('r', 'r')}, {B('c', 'c')}, re + 0e0 AS re, im + 0e0 AS im FROM ({sql.hproj(sql.STATES, sql.TERMS12)})")
 def hproj(spark, d):
-    return subspace.hproj(fixtures.states_sparse12(spark, d), fixtures.terms_part12(spark, d)).select("r", "c", *_real("re", "im"))
+    return subspace.hproj(fixtures.states_orders(spark, d), fixtures.terms_part12(spark, d)).select("r", "c", *_real("re", "im"))
 
 
-_V12 = f"SELECT s, (s % 7 - 3) / 4e0 AS re FROM ({sql.STATES12})"
-_HV = f"SELECT {B('h.r', 's')}, {R('sum(h.re * v.re)', 're')}, {R('sum(h.im * v.re)', 'im')} FROM ({sql.hproj(sql.STATES12, sql.TERMS12)}) h JOIN ({_V12}) v ON v.s = h.c GROUP BY 1"
+_V12 = f"SELECT s, (s % 7 - 3) / 4e0 AS re FROM ({sql.STATES})"
+_HV = f"SELECT {B('h.r', 's')}, {R('sum(h.re * v.re)', 're')}, {R('sum(h.im * v.re)', 'im')} FROM ({sql.hproj(sql.STATES, sql.TERMS12)}) h JOIN ({_V12}) v ON v.s = h.c GROUP BY 1"
 
 
 def _v12(spark, d) -> DataFrame:
-    return subspace.distinct_states(fixtures.states_sparse12(spark, d)).select("s", ((F.col("s") % 7 - 3) / 4.0).alias("re"), F.lit(0.0).alias("im"))
+    return subspace.distinct_states(fixtures.states_orders(spark, d)).select("s", ((F.col("s") % 7 - 3) / 4.0).alias("re"), F.lit(0.0).alias("im"))
 
 
 @_query(_HV)
 def apply_h_coo(spark, d):
-    h = subspace.hproj(fixtures.states_sparse12(spark, d), fixtures.terms_part12(spark, d))
+    h = subspace.hproj(fixtures.states_orders(spark, d), fixtures.terms_part12(spark, d))
     return subspace.apply_coo(h, _v12(spark, d)).select("s", *_real("re", "im"))
 
 
-@_query(f"SELECT {B('xor(v.s, t.x)', 's')}, {R(f'sum({sql.sign("t.z", "xor(v.s, t.x)")} * t.re * v.re)', 're')}, {R(f'sum({sql.sign("t.z", "xor(v.s, t.x)")} * t.im * v.re)', 'im')} FROM ({_V12}) v, ({sql.TERMS12}) t WHERE xor(v.s, t.x) IN ({sql.STATES12}) GROUP BY 1")
+@_query(f"SELECT {B('xor(v.s, t.x)', 's')}, {R(f'sum({sql.sign("t.z", "xor(v.s, t.x)")} * t.re * v.re)', 're')}, {R(f'sum({sql.sign("t.z", "xor(v.s, t.x)")} * t.im * v.re)', 'im')} FROM ({_V12}) v, ({sql.TERMS12}) t WHERE xor(v.s, t.x) IN ({sql.STATES}) GROUP BY 1")
 def apply_h(spark, d):
-    return subspace.apply_h(fixtures.states_sparse12(spark, d), fixtures.terms_part12(spark, d), _v12(spark, d)).select("s", *_real("re", "im"))
+    return subspace.apply_h(fixtures.states_orders(spark, d), fixtures.terms_part12(spark, d), _v12(spark, d)).select("s", *_real("re", "im"))
 
 
-@_query(f"SELECT sum(a.re * b.re) AS re, 0e0 AS im FROM ({_COUNTS(1)}) a JOIN ({_COUNTS(2)}) b ON a.s = b.s")
+@_query(f"SELECT sum(a.re * b.re) AS re, 0e0 AS im FROM ({_counted('l_partkey', _V0)}) a JOIN ({_counted('l_partkey', _V1)}) b ON a.s = b.s")
 def inner_product(spark, d):
-    return subspace.inner_product(_counts(spark, d, 1), _counts(spark, d, 2))
+    return subspace.inner_product(_vector(spark, d, "l_partkey", _V0), _vector(spark, d, "l_partkey", _V1))
 
 
-_W = f"SELECT 0 AS j, s, re FROM ({_COUNTS(1)}) UNION ALL SELECT 1, s, re FROM ({_COUNTS(2)})"
+_RING = "l_partkey % 256"
+_W = f"SELECT 0 AS j, s, re FROM ({_counted(_RING, _V0)}) UNION ALL SELECT 1, s, re FROM ({_counted(_RING, _V1)})"
 
 
 @_query(f"SELECT {B('a.j', 'j')}, {B('b.j', 'k')}, {R(f'sum(a.re * t.re * {sql.sign("t.z", "a.s")} * b.re)', 're')}, 0e0 AS im FROM ({_W}) a, ({sql.tfim(8, 1.0)}) t, ({_W}) b, (SELECT DISTINCT s FROM ({sql.RING8})) p, (SELECT DISTINCT s FROM ({sql.RING8})) q WHERE b.s = xor(a.s, t.x) AND p.s = a.s AND q.s = b.s GROUP BY 1, 2")
 def rayleigh_matrix(spark, d):
     h = subspace.hproj(fixtures.states_ring8(spark, d), fixtures.terms_tfim(spark, 8, 1.0))
-    w = _counts(spark, d, 1).select(F.lit(0).alias("j"), "s", "re", "im").union(_counts(spark, d, 2).select(F.lit(1), "s", "re", "im"))
+    w = _vector(spark, d, _RING, _V0).select(F.lit(0).alias("j"), "s", "re", "im").union(_vector(spark, d, _RING, _V1).select(F.lit(1), "s", "re", "im"))
     return subspace.rayleigh_matrix(h, w).select(*_long("j", "k"), *_real("re", "im"))
 
 
@@ -263,27 +269,43 @@ def locg_history(spark, d):
     return solver.solve_each(_sweep(spark, states, 8, [1.0]), "hx", "double").select("hx", F.inline("history")).select("hx", *_long("i"), *_real("energy", "residual"))
 
 
-@_query(f"SELECT {B('vec_id', 'vec_id')}, {R('(a + d) / 2 - sqrt(pow((a - d) / 2, 2) + b * b + c * c)', 'value')} FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) a, CAST(embedding[2] AS DOUBLE) b, CAST(embedding[3] AS DOUBLE) c, CAST(embedding[4] AS DOUBLE) d FROM embeddings)")
+def _tiles(spark, d, size: int) -> DataFrame:
+    """vec_id, k and a, b, ...: each vector's 64 numbers in groups of so many, the last one going on at the front."""
+    e = fixtures.table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit((64 - 1) // size))).alias("k"))
+    return e.select("vec_id", *_long("k"), *[F.get("embedding", (F.col("k") * size + i) % 64).cast("double").alias(n) for i, n in enumerate("abcdefghi"[:size])])
+
+
+def _tiled(size: int) -> str:
+    parts = ", ".join(f"CAST(embedding[(k * {size} + {i}) % 64 + 1] AS DOUBLE) {n}" for i, n in enumerate("abcdefghi"[:size]))
+    return f"SELECT vec_id, k, {parts} FROM embeddings, range({(64 - 1) // size + 1}) t(k)"
+
+
+@_query(f"SELECT {B('vec_id', 'vec_id')}, {B('k', 'k')}, {R('(a + d) / 2 - sqrt(pow((a - d) / 2, 2) + b * b + c * c)', 'value')} FROM ({_tiled(4)})")
 def eigenpair_2x2(spark, d):
-    e = fixtures.table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(4)])
-    return e.select("vec_id", rounded(solver.eigenvalue_2x2("e0", "e3", "e1", "e2")).alias("value"))
+    return _tiles(spark, d, 4).select("vec_id", "k", rounded(solver.eigenvalue_2x2("a", "d", "b", "c")).alias("value"))
 
 
-_E6 = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) {n}" for i, n in enumerate("abcdef"))
 #: lowest eigenvalue by its defining property: the smallest root of the characteristic polynomial, by 80 bisections between Gershgorin's bound and the leading block's lower eigenvalue, which interlaces
-_E3 = f"""WITH RECURSIVE m AS (SELECT vec_id, {_E6} FROM embeddings), p AS (
-  SELECT vec_id, a + b + c AS t, a * b + a * c + b * c - d * d - e * e - f * f AS u, a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e) AS v,
-    least(a - abs(d) - abs(e), b - abs(d) - abs(f), c - abs(e) - abs(f)) - 1 AS lo, (a + b) / 2 - sqrt(pow((a - b) / 2, 2) + d * d) AS hi FROM m),
-s AS (SELECT 0 AS i, vec_id, t, u, v, lo, hi FROM p UNION ALL
-  SELECT i + 1, vec_id, t, u, v, CASE WHEN g > 0 THEN lo ELSE mid END, CASE WHEN g > 0 THEN mid ELSE hi END FROM (
-    SELECT *, CASE WHEN mid * mid * mid - t * mid * mid + u * mid - v >= 0 THEN 1 ELSE -1 END AS g FROM (SELECT *, (lo + hi) / 2 AS mid FROM s)) WHERE i < 80)
-SELECT {B('vec_id', 'vec_id')}, {R('hi', 'value')} FROM s WHERE i = 80"""
+def _lowest_root(source: str) -> str:
+    """``source`` has vec_id, k and the real diagonal a, b, c and the complex d + ig, e + ih, f + ii above it."""
+    return f"""WITH RECURSIVE m AS ({source}), p AS (
+  SELECT vec_id, k, a + b + c AS t, a * b + a * c + b * c - (d * d + g * g) - (e * e + h * h) - (f * f + i * i) AS u,
+    a * b * c + 2 * (e * (d * f - g * i) + h * (d * i + g * f)) - a * (f * f + i * i) - b * (e * e + h * h) - c * (d * d + g * g) AS v,
+    least(a - sqrt(d * d + g * g) - sqrt(e * e + h * h), b - sqrt(d * d + g * g) - sqrt(f * f + i * i), c - sqrt(e * e + h * h) - sqrt(f * f + i * i)) - 1 AS lo, (a + b) / 2 - sqrt(pow((a - b) / 2, 2) + d * d + g * g) AS hi FROM m),
+s AS (SELECT 0 AS n, vec_id, k, t, u, v, lo, hi FROM p UNION ALL
+  SELECT n + 1, vec_id, k, t, u, v, CASE WHEN q > 0 THEN lo ELSE mid END, CASE WHEN q > 0 THEN mid ELSE hi END FROM (
+    SELECT *, CASE WHEN mid * mid * mid - t * mid * mid + u * mid - v >= 0 THEN 1 ELSE -1 END AS q FROM (SELECT *, (lo + hi) / 2 AS mid FROM s)) WHERE n < 80)
+SELECT {B('vec_id', 'vec_id')}, {B('k', 'k')}, {R('hi', 'value')} FROM s WHERE n = 80"""
+
+
+@_query(_lowest_root(f"SELECT *, 0e0 AS g, 0e0 AS h, 0e0 AS i FROM ({_tiled(6)})"))
+def eigenpair_3x3(spark, d):
+    return _tiles(spark, d, 6).select("vec_id", "k", rounded(solver.eigenvalue_3x3(*"abcdef")).alias("value"))
 
 
-@_query(_E3)
-def eigenpair_3x3(spark, d):
-    e = fixtures.table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate("abcdef")])
-    return e.select("vec_id", rounded(solver.eigenvalue_3x3(*"abcdef")).alias("value"))
+@_query(_lowest_root(_tiled(9)))
+def eigenpair_3x3_complex(spark, d):
+    return _tiles(spark, d, 9).select("vec_id", "k", rounded(solver.eigenvalue_3x3(*"abcdefghi")).alias("value"))
 
 
 # --- generalised Pauli basis ----------------------------------------------------------------------
@@ -351,23 +373,32 @@ def pauli_truncate_2x4(spark, d):
 
 # --- circuits -------------------------------------------------------------------------------------
 
-_GATES = """SELECT event_id AS g, CASE event_type WHEN 'click' THEN 'rx' WHEN 'error' THEN 'ry' WHEN 'purchase' THEN 'rz' WHEN 'signup' THEN 'rzz' ELSE 'cz' END AS name,
-  user_id % 6 AS q0, (user_id % 6 + 1) % 6 AS q1, coalesce(value, 0) / 100 AS angle FROM events WHERE event_id < 40"""
-_FLAT = f"""SELECT g * 3 AS g, name, CASE WHEN name = 'rzz' THEN (1::BIGINT << q0) + (1::BIGINT << q1) ELSE 1::BIGINT << q0 END AS mask, angle FROM ({_GATES}) WHERE name <> 'cz'
-UNION ALL SELECT g * 3, 'rzz', (1::BIGINT << q0) + (1::BIGINT << q1), pi() / 2 FROM ({_GATES}) WHERE name = 'cz'
-UNION ALL SELECT g * 3 + 1, 'rz', 1::BIGINT << q0, -pi() / 2 FROM ({_GATES}) WHERE name = 'cz'
-UNION ALL SELECT g * 3 + 2, 'rz', 1::BIGINT << q1, -pi() / 2 FROM ({_GATES}) WHERE name = 'cz'"""
+_NAME = "CASE event_type WHEN 'click' THEN 'rx' WHEN 'error' THEN 'ry' WHEN 'purchase' THEN 'rz' WHEN 'signup' THEN 'rzz' ELSE 'cz' END"
+_GATES = f"SELECT user_id AS circ_id, event_id AS g, {_NAME} AS name, user_id % 6 AS q0, (user_id % 6 + 1) % 6 AS q1, coalesce(value, 0) / 100 AS angle FROM events"
+_TOTALS = f"""SELECT 0 AS circ_id, list_position(['rx', 'ry', 'rz', 'rzz', 'cz'], name) * 6 + q0 AS g, name, q0, (q0 + 1) % 6 AS q1, cents / 1e4 AS angle FROM (
+  SELECT {_NAME} AS name, user_id % 6 AS q0, CAST(sum(CAST(round(coalesce(value, 0) * 100) AS BIGINT)) AS BIGINT) % 100000 AS cents FROM events GROUP BY 1, 2)"""
+
+
+def _flat(gates: str) -> str:
+    return f"""SELECT circ_id, g * 3 AS g, name, CASE WHEN name = 'rzz' THEN (1::BIGINT << q0) + (1::BIGINT << q1) ELSE 1::BIGINT << q0 END AS mask, angle FROM ({gates}) WHERE name <> 'cz'
+UNION ALL SELECT circ_id, g * 3, 'rzz', (1::BIGINT << q0) + (1::BIGINT << q1), pi() / 2 FROM ({gates}) WHERE name = 'cz'
+UNION ALL SELECT circ_id, g * 3 + 1, 'rz', 1::BIGINT << q0, -pi() / 2 FROM ({gates}) WHERE name = 'cz'
+UNION ALL SELECT circ_id, g * 3 + 2, 'rz', 1::BIGINT << q1, -pi() / 2 FROM ({gates}) WHERE name = 'cz'"""
+
 
+def _masks(gates: str) -> str:
+    return f"SELECT circ_id, g, CASE WHEN name IN ('rx', 'ry') THEN mask ELSE 0 END AS x, CASE WHEN name = 'rx' THEN 0 ELSE mask END AS z, cos(-angle * 0.5) AS cos, sin(-angle * 0.5) AS sin FROM ({_flat(gates)})"
 
-@_query(f"SELECT CAST(0 AS BIGINT) AS circ_id, {B('g', 'g')}, {B('CASE WHEN name IN (' + chr(39) + 'rx' + chr(39) + ', ' + chr(39) + 'ry' + chr(39) + ') THEN mask ELSE 0 END', 'x')}, {B('CASE WHEN name = ' + chr(39) + 'rx' + chr(39) + ' THEN 0 ELSE mask END', 'z')}, {R('cos(-angle * 0.5)', 'cos')}, {R('sin(-angle * 0.5)', 'sin')} FROM ({_FLAT})")
+
+@_query(f"SELECT {B('circ_id', 'circ_id')}, {B('g', 'g')}, {B('x', 'x')}, {B('z', 'z')}, {R('cos', 'cos')}, {R('sin', 'sin')} FROM ({_masks(_GATES)})")
 def circuit_compile(spark, d):
     return circuit.compile_gates(fixtures.gates_events(spark, d)).select(*_long("circ_id", "g", "x", "z"), *_real("cos", "sin"))
 
 
-@_query(f"SELECT {B('g', 'g')}, name, {B('mask', 'mask')}, {R('angle', 'angle')} FROM ({_FLAT})")
+@_query(f"SELECT {B('circ_id', 'circ_id')}, {B('g', 'g')}, name, {B('mask', 'mask')}, {R('angle', 'angle')} FROM ({_flat(_GATES)})")
 def circuit_cz_decompose(spark, d):
     mask = F.aggregate("qubits", F.lit(0).cast("long"), lambda m, q: m + F.call_function("shiftleft", F.lit(1).cast("long"), q))
-    return circuit.decompose_cz(fixtures.gates_events(spark, d)).select(*_long("g"), "name", mask.alias("mask"), *_real("angle"))
+    return circuit.decompose_cz(fixtures.gates_events(spark, d)).select(*_long("circ_id", "g"), "name", mask.alias("mask"), *_real("angle"))
 
 
 @_query("SELECT CAST(i AS BIGINT) AS i, CASE WHEN i = 5 THEN 1e0 ELSE 0e0 END AS re FROM range(64) t(i)")
@@ -409,19 +440,39 @@ def svsim_ghz(spark, d):
     return circuit.svsim(fixtures.gates_ghz(spark, 5)).select("i", rounded(F.expr("re * re + im * im")).alias("prob"))
 
 
-@_query("SELECT 1e0 AS norm, CAST(64 AS BIGINT) AS entries")
+def _run_gates(gates: str) -> str:
+    """circ_id, i, re, im: the six-qubit state of each circuit, one gate a recursion over the whole list of amplitudes."""
+    mate, odd = "xor(i, x) + 1", "(1 - 2 * (bit_count(z & i) % 2)) * sin"
+    t_re, t_im = (f"CASE bit_count(x & z) % 4 WHEN 0 THEN {a}[{mate}] WHEN 1 THEN {b}[{mate}] WHEN 2 THEN -{a}[{mate}] ELSE -{b}[{mate}] END" for a, b in (("re", "im"), ("im", "-re")))
+    t_im = f"CASE bit_count(x & z) % 4 WHEN 0 THEN im[{mate}] WHEN 1 THEN -re[{mate}] WHEN 2 THEN -im[{mate}] ELSE re[{mate}] END"
+    return f"""WITH RECURSIVE gates AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY circ_id ORDER BY g) AS n, count(*) OVER (PARTITION BY circ_id) AS last FROM ({_masks(gates)})),
+run AS (SELECT circ_id, 0::BIGINT AS n, list_transform(range(64), lambda i: CASE WHEN i = 0 THEN 1e0 ELSE 0e0 END) AS re, list_transform(range(64), lambda i: 0e0) AS im FROM (SELECT DISTINCT circ_id FROM gates) UNION ALL
+  SELECT circ_id, n, list_transform(range(64), lambda i: cos * re[i + 1] - {odd} * ({t_im})), list_transform(range(64), lambda i: cos * im[i + 1] + {odd} * ({t_re}))
+  FROM (SELECT r.circ_id, g.n, g.x, g.z, g.cos, g.sin, r.re, r.im FROM run r JOIN gates g ON g.circ_id = r.circ_id AND g.n = r.n + 1))
+SELECT circ_id, unnest(range(64)) AS i, unnest(re) AS re, unnest(im) AS im FROM run JOIN (SELECT DISTINCT circ_id, last FROM gates) USING (circ_id) WHERE n = last"""
+
+
+def _event_states(spark, d) -> DataFrame:
+    """circ_id, i, re, im: every user's circuit from |0>."""
+    gates = fixtures.gates_events(spark, d)
+    zero = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(F.when(i == 0, 1.0).otherwise(0.0).alias("re"), F.lit(0.0).alias("im")))
+    done = circuit.simulate_arrays(gates, gates.select("circ_id").distinct().select("circ_id", zero.alias("amps")))
+    return done.select("circ_id", F.posexplode("amps").alias("i", "v")).select("circ_id", F.col("i").cast("long").alias("i"), "v.re", "v.im")
+
+
+@_query("SELECT user_id AS circ_id, 1e0 AS norm, CAST(64 AS BIGINT) AS entries FROM events GROUP BY 1")
 def svsim_norm(spark, d):
-    return circuit.svsim(fixtures.gates_events(spark, d), 6).agg(rounded(F.sum(F.expr("re * re + im * im"))).alias("norm"), F.count(F.lit(1)).alias("entries"))
+    return _event_states(spark, d).groupBy("circ_id").agg(rounded(F.sum(F.expr("re * re + im * im"))).alias("norm"), F.count(F.lit(1)).alias("entries"))
 
 
-@_query()
+@_query(f"SELECT {B('circ_id', 'circ_id')}, {B('i', 'i')}, {_RE_IM} FROM ({_run_gates(_GATES)})")
 def svsim_events(spark, d):
-    return circuit.svsim(fixtures.gates_events(spark, d), 6).select("i", *_real("re", "im"))
+    return _event_states(spark, d).select("circ_id", "i", *_real("re", "im"))
 
 
-@_query()
+@_query(f"SELECT {B('i', 'i')}, {_RE_IM} FROM ({_run_gates(_TOTALS)})")
 def svsim_rows_events(spark, d):
-    return circuit.simulate_rows(fixtures.gates_events(spark, d), circuit.one_hot(spark, 6)).select("i", *_real("re", "im"))
+    return circuit.simulate_rows(fixtures.gates_totals(spark, d), circuit.one_hot(spark, 6)).select("i", *_real("re", "im"))
 
 
 # --- matrix functions -----------------------------------------------------------------------------
@@ -435,18 +486,33 @@ def matrix_ufunc(spark, d):
     return matfun.matrix_ufunc(lambda v: v * v, fixtures.hermitian_emb(spark, d), 8, hermitian=1).select(*_long("mat_id", "r", "c"), *_real("re", "im"))
 
 
-def _diagonal(spark, d) -> DataFrame:
-    return fixtures.matrices_emb(spark, d).filter("r = c")
+_LISTS = f"SELECT mat_id, list(re ORDER BY r, c) AS m FROM ({_HERM}) GROUP BY 1"
+
+
+def _times(a: str, b: str, scale: str) -> str:
+    """Product of two matrices that are lists, row by row."""
+    return f"list_transform(range(64), lambda p: {scale} * list_sum(list_transform(range(8), lambda k: {a}[p // 8 * 8 + k + 1] * {b}[k * 8 + p % 8 + 1])))"
+
+
+_UNIT = "list_transform(range(64), lambda p: CASE WHEN p % 9 = 0 THEN 1e0 ELSE 0e0 END)"
+_ENTRIES = f"SELECT {B('mat_id', 'mat_id')}, CAST(p // 8 AS BIGINT) AS r, CAST(p % 8 AS BIGINT) AS c, {R('v', 're')}, 0e0 AS im FROM (SELECT mat_id, unnest(range(64)) AS p, unnest({{}}) AS v FROM {{}})".format
+# the exponential by its series
+_EXP = f"""WITH RECURSIVE s AS (SELECT 0 AS n, mat_id, m, {_UNIT} AS t, {_UNIT} AS total FROM ({_LISTS}) UNION ALL
+  SELECT n + 1, mat_id, m, u, list_transform(range(64), lambda p: total[p + 1] + u[p + 1]) FROM (SELECT *, {_times('t', 'm', '1e0 / (n + 1)')} AS u FROM s WHERE n < 60)) {_ENTRIES('total', 's WHERE n = 60')}"""
+# the angle of a real eigenvalue is pi below zero: (1 - sign(M)) pi / 2, the sign by Newton and Schulz
+_ANGLE = f"""WITH RECURSIVE s AS (SELECT 0 AS n, mat_id, list_transform(m, lambda v: v / size) AS x FROM (SELECT *, sqrt(list_sum(list_transform(m, lambda v: v * v))) AS size FROM ({_LISTS})) UNION ALL
+  SELECT n + 1, mat_id, {_times('x', 'y', '0.5e0')} FROM (SELECT n, mat_id, x, list_transform(range(64), lambda p: CASE WHEN p % 9 = 0 THEN 3e0 ELSE 0e0 END - q[p + 1]) AS y FROM (SELECT *, {_times('x', 'x', '1e0')} AS q FROM s WHERE n < 60)))
+  {_ENTRIES("list_transform(range(64), lambda p: (CASE WHEN p % 9 = 0 THEN 1e0 ELSE 0e0 END - x[p + 1]) * pi() / 2)", 's WHERE n = 60')}"""
 
 
-@_query(f"SELECT {B('mat_id', 'mat_id')}, {B('r', 'r')}, {B('c', 'c')}, {R('CASE WHEN r = c THEN exp(re) ELSE 0e0 END', 're')}, 0e0 AS im FROM ({sql.MATRICES})")
+@_query(_EXP)
 def matrix_exp(spark, d):
-    return matfun.matrix_exp(_diagonal(spark, d), 8, hermitian=1).select(*_long("mat_id", "r", "c"), *_real("re", "im"))
+    return matfun.matrix_exp(fixtures.hermitian_emb(spark, d), 8, hermitian=1).select(*_long("mat_id", "r", "c"), *_real("re", "im"))
 
 
-@_query(f"SELECT {B('mat_id', 'mat_id')}, {B('r', 'r')}, {B('c', 'c')}, {R('CASE WHEN r = c AND re < 0 THEN pi() ELSE 0e0 END', 're')}, 0e0 AS im FROM ({sql.MATRICES})")
+@_query(_ANGLE)
 def matrix_angle(spark, d):
-    return matfun.matrix_angle(_diagonal(spark, d), 8, hermitian=1).select(*_long("mat_id", "r", "c"), *_real("re", "im"))
+    return matfun.matrix_angle(fixtures.hermitian_emb(spark, d), 8, hermitian=1).select(*_long("mat_id", "r", "c"), *_real("re", "im"))
 
 
 # --- presentation -----------------------------------------------------------------------------------

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-STATES12 = "SELECT DISTINCT (o_orderkey * 7919) % 4096 AS s FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 16 < 3"
-RING8 = "SELECT DISTINCT l_partkey % 256 AS s FROM lineitem WHERE l_linenumber = 1 AND l_quantity <= 25"
+STATES = "SELECT DISTINCT l_orderkey AS s FROM lineitem"
+RING8 = "SELECT DISTINCT l_partkey % 256 AS s FROM lineitem"
 
-TERMS12 = """SELECT x, z,
+
+def scattered(number: str, low: int) -> str:
+    return f"((({number}) * 2654435761) % 4294967296 // {low}) % 4096"
+
+
+TERMS12 = f"""SELECT x, z,
   CASE bit_count(x & z) % 4 WHEN 0 THEN c WHEN 2 THEN -c ELSE 0e0 END AS re,
   CASE bit_count(x & z) % 4 WHEN 1 THEN -c WHEN 3 THEN c ELSE 0e0 END AS im
-FROM (SELECT CASE WHEN p_partkey = 40 THEN 0 ELSE ((CASE WHEN p_partkey <= 40 THEN p_partkey ELSE p_partkey - 40 END * 2654435761) % 4294967296 // 1048576) % 4096 END AS x,
-             ((p_partkey * 2654435761) % 4294967296 // 256) % 4096 AS z, ((p_size % 17) - 8) / 8e0 AS c
-      FROM part WHERE p_partkey <= 60) t WHERE c <> 0"""
+FROM (SELECT CASE WHEN p_size % 10 = 0 THEN 0 ELSE {scattered("CAST(p_size % 10 AS BIGINT)", 1_048_576)} END AS x, {scattered("p_partkey % 5 + 1", 256)} AS z, sum((p_partkey % 17 - 8) / 8e0) AS c
+      FROM part GROUP BY 1, 2) t WHERE c <> 0"""
 
 _LETTERS = " || ".join(f"substr('IXZY', CAST(1 + (x >> {q}) % 2 + 2 * ((z >> {q}) % 2) AS INT), 1)" for q in range(11, -1, -1))
 PAULI_STRINGS = f"""SELECT CAST(0 AS BIGINT) AS ham_id, {_LETTERS} AS pauli, x, z, c AS re FROM (
-  SELECT ((base * 2654435761) % 4294967296 // 1048576) % 4096 AS x, ((base * 2654435761) % 4294967296 // 256) % 4096 AS z, (size - 8) / 8e0 AS c FROM (
-    SELECT base, CASE WHEN p_partkey > 60 THEN 17 - base % 17 WHEN p_partkey <= 10 THEN base % 17 ELSE p_size % 17 END AS size, p_partkey FROM (
-      SELECT *, CASE WHEN p_partkey <= 40 THEN p_partkey WHEN p_partkey <= 60 THEN p_partkey - 40 ELSE p_partkey - 60 END AS base FROM part WHERE p_partkey <= 70)))"""
+  SELECT {scattered("p_partkey % 1000", 1_048_576)} AS x, {scattered("p_partkey % 1000", 256)} AS z,
+    CASE WHEN p_partkey % 1000 % 3 = 0 THEN CASE WHEN p_partkey // 1000 % 2 = 0 THEN 1e0 ELSE -1e0 END * (p_partkey % 1000 % 17 - 8) / 8 ELSE (p_size % 17 - 8) / 8e0 END AS c FROM part)"""
 
 EMB = "SELECT vec_id, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS re FROM embeddings"
 MATRICES = f"SELECT vec_id AS mat_id, CAST(pos // 8 AS INT) AS r, CAST(pos % 8 AS INT) AS c, re FROM ({EMB})"

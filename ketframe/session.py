@@ -36,11 +36,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (as in tests) one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse, or on a local master a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.environ.setdefault("KETFRAME_SHARED", tempfile.mkdtemp(prefix="ketframe-shared-"))
-    return folder.rstrip("/")
+    if not folder and spark.sparkContext.master.partition("[")[0] == "local":
+        folder = os.environ.get("KETFRAME_SHARED") or os.environ.setdefault("KETFRAME_SHARED", tempfile.mkdtemp(prefix="ketframe-shared-"))
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ketframe").rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
