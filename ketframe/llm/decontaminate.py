@@ -30,8 +30,8 @@ WORD = _word([range(0x00, 0x30), range(0x3A, 0x61), range(0x7B, 0x80)])
 _WORD_ANY_CASE = _word([range(0x00, 0x30), range(0x3A, 0x41), range(0x5B, 0x61), range(0x7B, 0x80)])
 #: Low bits of a fingerprint that hold its position; a text has fewer words than that.
 _PLACE = 28
-#: Item fingerprints, or items, up to this many rows are broadcast; more are shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes of a fingerprint's or short item's row.
+_ROW = 48
 
 
 def hashes(text: Column) -> Column:
@@ -75,27 +75,32 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5,
     words = saved(bench.select("item", "item_key", hashes(F.col("text")).alias("item_words")).filter(F.size("item_words") > 0).dropDuplicates(["item_key"]), "items")
 
     long = saved(_opened(bench.select("item_key", "text"), fingerprints(F.col("text"), span, k)).distinct(), "item_prints")
-    found = _opened(source, fingerprints(F.col("text"), span, k)).join(small(long.toDF("item_key", "item_place", "hash"), BROADCAST_ROWS), "hash")
+    found = _opened(source, fingerprints(F.col("text"), span, k)).join(small(long.toDF("item_key", "item_place", "hash"), _ROW), "hash")
     found = found.select("key_id", "key_text", "item_key", (F.col("place") - F.col("item_place")).alias("offset"))
     for n in [r["n"] for r in words.select(F.size("item_words").alias("n")).filter(f"n < {span}").distinct().collect()]:  # under `span` of them
         short = saved(words.filter(F.size("item_words") == n).select("item_key", F.xxhash64(*[F.get("item_words", F.lit(j)) for j in range(n)]).alias("hash")), "short_items")
         grams = let(hashes(F.col("text")), _placed_grams(n))
-        each = source.select("key_id", "key_text", F.inline(grams)).join(small(short, BROADCAST_ROWS), "hash")
+        each = source.select("key_id", "key_text", F.inline(grams)).join(small(short, _ROW), "hash")
         found = found.union(each.select("key_id", "key_text", "item_key", "offset"))
     found = saved(found.distinct(), "aligned")
 
     # lay each item over its document and keep the runs of equal words
-    laid = found.join(small(words, BROADCAST_ROWS), "item_key").groupBy("key_id", "key_text").agg(F.collect_list(F.struct("item", "offset", "item_words")).alias("laid"))
+    # an item's words come once to a document, however many alignments there are
+    per_item = found.groupBy("key_id", "key_text", "item_key").agg(F.collect_list("offset").alias("offsets"))
+    laid = per_item.join(small(words, 64 + 8 * F.size("item_words")), "item_key").groupBy("key_id", "key_text").agg(F.collect_list(F.struct("item", "offsets", "item_words")).alias("laid"))
 
     def runs(h: Column) -> Column:
-        def one(c: Column) -> Column:
-            size = F.size(c["item_words"])
+        def at(item_words: Column, offset: Column) -> Column:
+            size = F.size(item_words)
             need = F.least(F.lit(span), size)
-            same = lambda j: F.coalesce(F.get(h, c["offset"] + j) == F.get(c["item_words"], j), F.lit(False))
+            same = lambda j: F.coalesce(F.get(h, offset + j) == F.get(item_words, j), F.lit(False))
             equal = F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.when(same(j), "1").otherwise("0")), "")
             begins = lambda e: F.filter(F.sequence(F.lit(0), size - need), lambda j: F.substring(e, j + 1, need) == F.repeat(F.lit("1"), need))
-            places = lambda at: F.flatten(F.transform(at, lambda j: F.sequence(c["offset"] + j, c["offset"] + j + need - 1)))
-            return let(equal, lambda e: F.struct(c["item"].alias("item"), places(begins(e)).alias("places")))
+            places = lambda begin: F.flatten(F.transform(begin, lambda j: F.sequence(offset + j, offset + j + need - 1)))
+            return let(equal, lambda e: F.array_distinct(places(begins(e))))
+
+        def one(c: Column) -> Column:
+            return F.struct(c["item"].alias("item"), F.array_distinct(F.flatten(F.transform(c["offsets"], lambda o: at(c["item_words"], o)))).alias("places"))
 
         return F.filter(F.transform(F.col("laid"), one), lambda r: F.size(r["places"]) > 0)
 

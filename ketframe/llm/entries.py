@@ -14,9 +14,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def excerpts(vectors: DataFrame) -> DataFrame:
+    """Another recording of each twentieth one, so that there is something to be found: 48 of its 64 notes from the ninth on, each a little off; its id is -1 - vec_id."""
+    off = lambda v, i: v + F.when(F.pmod(F.xxhash64("vec_id", i), F.lit(16)) == 0, 0.012).otherwise(0.001)
+    return vectors.filter("vec_id % 20 = 0").select((-1 - F.col("vec_id")).alias("vec_id"), F.transform(F.slice("embedding", 9, 48), off).cast("array<float>").alias("embedding"))
+
+
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, column = _read(spark, sf_dir, "embeddings"), {"pcm": "embedding", "decode": chroma.sound_of}
-    return chroma.align(chroma.fingerprints(vectors, chroma.learn_cuts(vectors, **column), rec_id="vec_id", **column))
+    vectors, column = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), {"rec_id": "vec_id", "pcm": "embedding", "decode": chroma.sound_of}
+    return chroma.align(chroma.fingerprints(vectors.union(excerpts(vectors)), chroma.learn_cuts(vectors, **column), **column))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

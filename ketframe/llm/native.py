@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,16 +25,24 @@ def row_key(doc_id: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("key_id"), F.xxhash64(F.col(doc_id).isNull(), F.col(text)).alias("key_text")]
 
 
-def smallest_hashes(df: DataFrame, column: str, n: int) -> list[Row]:
-    """The ``n`` rows of smallest hash, a sample for fitting. A first count leaves about twice as many to be sent at all."""
-    key, parts = F.pmod(F.xxhash64(F.lit(17), column), F.lit(1_000_003)), 1_000_003
+def drawn(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """About twice ``n`` rows of smallest hash over the columns ``by``, with the hash as draw_key; a sample for fitting.
+
+    ``by`` has the row's id, so that copies of one content aren't drawn together.
+    """
     share = min(1.0, (2 * n + 40) / max(1, df.count()))
-    return sorted(df.withColumn("_key", key).filter(F.col("_key") < share * parts).collect(), key=lambda r: (r["_key"], str(r[column])))[:n]
+    keyed = df.withColumn("draw_key", F.shiftrightunsigned(F.xxhash64(F.lit(17), *by), 2))
+    return keyed.filter(F.col("draw_key") <= int(share * (1 << 62)))
+
+
+#: Bytes up to which a table is broadcast; beyond that the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` (a saved table) marked for broadcast if it has at most ``rows`` rows; beyond that the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """``df`` (a saved table) marked for broadcast if its rows come to at most ``BROADCAST_BYTES``."""
+    size = df.agg(F.sum((row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)).cast("long"))).first()[0]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
 
 def cross_pairs(placed: DataFrame, keys: list[str], columns: list[str], near: Callable[[Callable, Callable], Column]) -> DataFrame:
