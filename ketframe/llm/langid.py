@@ -13,6 +13,8 @@ it has met, and a text costs one look-up a word.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 
 from ketframe.session import ship
 
-#: A word: a run of letters.
-words_of = re.compile(r"[^\W\d_]+").findall
+#: A word: a run of letters (\p{L}): word characters other than digits, other numbers such as a half, and _.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+words_of = re.compile(rf"[^\W\d_{_NUMBERS}]+").findall
 
 #: Symbols that any model reckons with; an unseen one gets its share of the unigram discount.
 ALPHABET = 4096
@@ -217,7 +220,7 @@ def learn(docs: DataFrame, per_lang: int = 240, longest: int = 20_000, order: in
         return Model({}, order)
     # twice the wanted share, so that the smallest hashes are surely among them; then the rest is cut off
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2.0 * per_lang + 40) / n))])
-    drawn = usable.filter(F.abs(key % 1_000_003) < share[F.col(lang)] * 1_000_003).select(F.col(lang).alias("l"), F.col(text).alias("t"), key.alias("k")).toPandas()
+    drawn = usable.filter(F.shiftrightunsigned(key, 2) <= (share[F.col(lang)] * float(1 << 62)).cast("long")).select(F.col(lang).alias("l"), F.col(text).alias("t"), key.alias("k")).toPandas()
     drawn = drawn.sort_values(["k", "t"]).groupby("l").head(per_lang)
     samples = {x: list(g["t"]) for x, g in drawn.groupby("l")}
     model = Model(samples, order)
