@@ -5,8 +5,7 @@ The forest looks at the candidate's length and characters, how likely its charac
 among ordinary words, how much of it dictionary words cover, the path (or source) it was found in,
 and the words beside it. It is trained on labelled findings.
 
-The words of the dictionary and of the transitions come from a bounded sample of documents; the
-labelled findings are made from a fixed seed: credentials of usual shapes in the places where they
+The words of the dictionary and the transitions are counted over all documents; the labelled findings are made from a fixed seed: credentials of usual shapes in the places where they
 stand, and look-alikes (hashes of commits and files, identifiers, placeholders, words, numbers). A table
 of real findings can be given instead.
 """
@@ -14,6 +13,7 @@ of real findings can be given instead.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import math
 import random
@@ -28,8 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ketframe.llm.native import smallest_hashes
-from ketframe.session import ship
+from ketframe.session import saved, ship
 
 _NAMES = r"(?:api|app|auth|access|aws|client|db|private|refresh|secret|session|signing|user)?[_-]?(?:key|token|secret|passw(?:or)?d|passwd|pwd|credentials?|bearer)"
 #: kind -> pattern; the candidate is group 1. Earlier kinds win where two overlap.
@@ -50,27 +49,31 @@ FEATURES = ["length", "digits", "upper", "lower", "other", "entropy", "hex", "ch
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of candidates in a text, in order, none inside another."""
-    taken: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int, int]] = []  # (start, end, kind), ascending and apart
     for kind, (_, pattern) in enumerate(KINDS):
         for m in pattern.finditer(text):
             a, b = m.span(1)
             while b > a and text[b - 1] in ".=" and kind == 3 and not text[b - 1 : b] == "=":
                 b -= 1
-            if b - a >= 6 and not any(x < b and a < y for _, x, y in taken):
-                taken.append((kind, a, b))
-    return sorted(taken, key=lambda t: t[1])
+            i = bisect.bisect_right(taken, (a, a, len(KINDS)))
+            if b - a >= 6 and not (i and taken[i - 1][1] > a) and not (i < len(taken) and taken[i][0] < b):
+                taken.insert(i, (a, b, kind))
+    return [(kind, a, b) for a, b, kind in taken]
 
 
 class Words:
-    """Dictionary and character transitions of ordinary words."""
+    """Dictionary and character transitions of ordinary words, ``pairs`` being counts of two neighbouring characters (by default those in ``words``)."""
 
-    def __init__(self, words: Counter, size: int = 20_000):
+    def __init__(self, words: Counter, size: int = 20_000, pairs: Counter | None = None):
         self.known = {w for w, _ in words.most_common(size) if len(w) >= 3}
-        pairs, firsts = Counter(), Counter()
-        for w, n in words.items():
-            for a, b in zip("^" + w, w + "$", strict=True):
-                pairs[a + b] += n
-                firsts[a] += n
+        firsts = Counter()
+        if pairs is None:
+            pairs = Counter()
+            for w, n in words.items():
+                for a, b in zip("^" + w, w + "$", strict=True):
+                    pairs[a + b] += n
+        for p, n in pairs.items():
+            firsts[p[0]] += n
         self.pairs = {p: math.log((n + 0.5) / (firsts[p[0]] + 32)) for p, n in pairs.items() if n > 1}
         self.unseen = math.log(0.5 / 1000)
 
@@ -211,8 +214,8 @@ def labelled_findings(vocabulary: Sequence[str], n: int = 4000, seed: int = 5) -
 class Scanner:
     """Dictionary and forest; small enough to be sent to every worker."""
 
-    def __init__(self, words: Counter, findings: Sequence[tuple[str, str, int]] | None = None, threshold: float = 0.5):
-        self.words, self.threshold = Words(words), threshold
+    def __init__(self, words: Counter, findings: Sequence[tuple[str, str, int]] | None = None, threshold: float = 0.5, pairs: Counter | None = None):
+        self.words, self.threshold = Words(words, pairs=pairs), threshold
         common = [w for w, _ in words.most_common(2000)]
         rows, labels = [], []
         for text, path, label in findings if findings is not None else labelled_findings(common):
@@ -234,12 +237,18 @@ class Scanner:
         return out
 
 
-def learn(docs: DataFrame, sample: int = 300, longest: int = 20_000, findings: Sequence[tuple[str, str, int]] | None = None, text: str = "text") -> Scanner:
-    """Words of at most ``sample`` whole documents of at most ``longest`` characters (those of smallest hash), and the forest."""
-    usable = docs.select(F.col(text).alias("t")).filter(F.col("t").isNotNull() & (F.length("t") <= longest))
-    rows = smallest_hashes(usable, "t", sample)
-    words = Counter(w for r in rows for w in re.findall(r"[^\W\d_]{2,}", r["t"].lower()))
-    return Scanner(words, findings)
+def learn(docs: DataFrame, dictionary: int = 20_000, transitions: int = 100_000, findings: Sequence[tuple[str, str, int]] | None = None, text: str = "text") -> Scanner:
+    """The ``dictionary`` most frequent words and the ``transitions`` most frequent character pairs of all documents, and the forest.
+
+    Words are counted before anything is dealt, so a word in every document is one row a task; ties
+    go to the first by character order. Null texts have no words; without words the dictionary is empty.
+    """
+    words = docs.select(F.explode(F.split(F.lower(F.col(text).cast("string")), r"[^\p{L}]+")).alias("w")).filter(F.length("w") >= 2)
+    counts = saved(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word_counts")
+    edged = F.concat(F.lit("^"), "w", F.lit("$"))
+    pairs = counts.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(edged, i, F.lit(2)))).alias("p")).groupBy("p").agg(F.sum("n").alias("n"))
+    most = lambda df, key, n: Counter({r[key]: r["n"] for r in df.orderBy(F.desc("n"), key).limit(n).collect()})
+    return Scanner(most(counts, "w", dictionary), findings, pairs=most(pairs, "p", transitions))
 
 
 def scan(docs: DataFrame, scanner: Scanner, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
