@@ -386,13 +386,54 @@ def test_language_id_of_awkward_rows(spark, documents, prose):
     assert {r["lang_pred"] for r in langid.identify(documents, nothing).collect()} == {"und"}
 
 
-def test_kneser_ney_probabilities_sum_to_less_than_one():
-    model = langid.Model({"x": ["abab abba baab bab aabb"]}, order=3)
-    ends = model.score_words(["ab" + c for c in "ab"])[:, 0]
-    assert np.all(ends > 0)
-    # after "a": every next symbol, the end included, takes a share of one
-    p = [np.exp(-(model.score_words(["a" + c])[0, 0] - model.score_words(["a"])[0, 0])) for c in "abc"]
-    assert p[0] > p[2] and p[1] > p[2]
+def reference_kneser_ney(words, order, alphabet):
+    """Interpolated Kneser-Ney over ^word$ by dictionaries of strings; returns log-probability of a word."""
+    counts = [Counter() for _ in range(order + 1)]
+    for w in words:
+        t = "\x01" + w + "\x02"
+        for n in range(1, order + 1):
+            for i in range(max(1, n - 1), len(t)):
+                counts[n][t[i - n + 1 : i + 1]] += 1
+    for n in range(order - 1, 0, -1):  # below the highest order: in how many ways an n-gram goes on to the left
+        before = Counter(g[1:] for g in counts[n + 1])
+        counts[n] = Counter({g: c if g[0] == "\x01" else before[g] for g, c in counts[n].items()})
+
+    def probability(history, symbol):
+        if history is None:
+            return 1 / alphabet
+        n = len(history) + 1
+        lower = probability(history[1:] if history else None, symbol)
+        after = {g: c for g, c in counts[n].items() if g[:-1] == history}
+        if not after:
+            return lower
+        ones, twos = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        discount = ones / (ones + 2 * twos) if ones else 0.5
+        total, taken = sum(after.values()), sum(min(discount, c) for c in after.values())
+        c = after.get(history + symbol, 0)
+        return (c - min(discount, c)) / total + taken / total * lower
+
+    def log(word):
+        t = "\x01" + word + "\x02"
+        return sum(np.log(probability(t[max(0, i - order + 1) : i], t[i])) for i in range(1, len(t)))
+
+    return log
+
+
+def test_kneser_ney_against_dictionaries():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcd"), rng.integers(1, 7))) for _ in range(60)] + ["abab"] * 4
+    model = langid.Model({"x": [" ".join(words)]}, order=4)
+    log = reference_kneser_ney(words, 4, langid.ALPHABET)
+    asked = [*dict.fromkeys(words), "zz", "abz", "dddddddd", "é"]
+    assert np.allclose(model.score_words(asked)[:, 0], [-log(w) for w in asked])
+
+
+def test_letters_are_what_makes_words(spark):
+    """Numbers that aren't decimal digits are no letters; a text without letters is undetermined."""
+    docs = spark.createDataFrame([(1, "½ ² Ⅷ 12 _"), (2, "ab Ⅷcd½ é"), (3, None), (4, "")], "doc_id long, text string")
+    assert langid.words_of("ab Ⅷcd½ é_f²") == ["ab", "cd", "é", "f"]
+    out = langid.identify(docs, langid.Model({"x": ["ab cd"]})).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in out} == {1: "und", 2: "x", 3: "und", 4: "und"}
 
 
 @pytest.mark.parametrize("run", [lambda d: token_counts.count_tokens(d, BPE), lambda d: packing.pack(d, BPE), minhash.near_duplicates, line_dedup.dedup_lines, suffix_dedup.remove_repeats, lambda d: decontaminate.contamination(d, d.select(F.col("doc_id").alias("item_id"), "text"))])

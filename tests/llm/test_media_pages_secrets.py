@@ -133,6 +133,31 @@ def test_host_boilerplate_of_pages_without_an_article(spark, prose):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+# --- the registered query of recordings ------------------------------------------------------------------
+
+
+def test_alignment_of_the_registered_query(spark):
+    """Planted excerpts are found where they stand; what trying every offset finds beyond them are unlike recordings just under the highest bit error."""
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
+    rows = {r["rec_id"]: r for r in entries.op1_chroma(spark, "/root/testdata/sf0.001").collect()}
+    column = {"rec_id": "vec_id", "pcm": "embedding", "decode": chroma.sound_of}
+    prints = {r["rec_id"]: np.array(r["fp"], np.int32).view(np.uint32) for r in chroma.fingerprints(vectors.union(entries.excerpts(vectors)), chroma.learn_cuts(vectors, **column), **column).collect()}
+    assert rows.keys() == prints.keys()
+    ones = np.array([bin(i).count("1") for i in range(1 << 16)])
+    found = wanted = right = 0
+    for q in (k for k in prints if k % 20 == 0):
+        a, links = prints[q], 0
+        for r, b in prints.items():
+            least = chroma.OVERLAP * min(a.size, b.size)
+            errors = [(ones[x & 0xFFFF] + ones[x >> 16]).mean() / 32 for o in range(-a.size, b.size) if (n := min(a.size, b.size - o) - max(0, -o)) >= least for x in [a[max(0, -o) :][:n] ^ b[max(0, o) :][:n]]]
+            links += r != q and min(errors) <= chroma.BIT_ERRORS
+        wanted, found = wanted + links, found + rows[q]["n_links"]
+        assert rows[q]["n_links"] <= links
+        right += (rows[q]["best_id"], rows[q]["best_offset"]) == (-1 - q, -8)
+    assert found >= 0.9 * 25 and wanted - found <= 3
+    assert right >= 24
+
+
 # --- secrets ------------------------------------------------------------------------------------------
 
 
@@ -162,6 +187,32 @@ def test_secret_scan_of_awkward_rows(spark, documents):
     assert secrets_scan.Scanner(Counter(), findings=[]).scan(["token = 'abcdef123'"], [None])[0]
 
 
+def brute_candidates(text):
+    """Each kind's matches in turn, unless they lie over one that stands."""
+    taken = []
+    for kind, (_, pattern) in enumerate(secrets_scan.KINDS):
+        for m in pattern.finditer(text):
+            a, b = m.span(1)
+            while kind == 3 and b > a and text[b - 1] == ".":
+                b -= 1
+            if b - a >= 6 and all(b <= x or y <= a for _, x, y in taken):
+                taken.append((kind, a, b))
+    return sorted(taken, key=lambda t: t[1])
+
+
+def test_candidates_against_every_earlier_one(prose):
+    texts = [f"{prose(i, 5)} token = 'a1b2c3d4e5f6a7b8c9d0e1' key: ghp_{'A1' * 18} {prose(50 + i, 3)} {'Zz9' * 12}. {prose(i, 2)}\n" for i in range(40)]
+    for text in (*texts, "".join(texts), ""):
+        assert secrets_scan.candidates(text) == brute_candidates(text)
+
+
+def test_words_are_counted_over_all_documents(spark):
+    docs = spark.createDataFrame([(i, "Common words" if i % 3 else "rare" + "abcdefgh"[i % 8] + " common") for i in range(60)] + [(99, None), (100, "")], "doc_id long, text string")
+    words = secrets_scan.learn(docs, dictionary=3).words
+    assert words.known == {"common", "words", "rarea"} and set(secrets_scan.learn(docs).words.known) >= {"rareb", "rareh"}
+    assert words.pairs["co"] > words.pairs["ra"] and secrets_scan.learn(docs.limit(0)).words.known == set()
+
+
 def test_long_candidates_are_whole():
     """No upper bound on a candidate's length, nor on where its first digit stands."""
     token, late, value, body = "aB3" * 200, "abcdE" * 60 + "7", "p4$" * 150, "QUJD0" * 4000
