@@ -22,10 +22,6 @@ def times_minus_i(k: Column, re: Column, im: Column) -> tuple[Column, Column]:
     )
 
 
-def cmul(a_re: Column, a_im: Column, b_re: Column, b_im: Column) -> tuple[Column, Column]:
-    return a_re * b_re - a_im * b_im, a_re * b_im + a_im * b_re
-
-
 def phase_0_2pi(re: Column, im: Column) -> Column:
     """The argument in [0, 2 pi); the zero number has 0."""
     return wrap(F.atan2(im, re))

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ketframe.functions import limbs
 from ketframe.functions.complexes import parity_sign, times_minus_i
 
 STRINGS = "ham_id long, pauli string, re double, im double"
@@ -20,7 +21,7 @@ TERMS = "x long, z long, re double, im double"
 
 
 def from_paulisum(spark: SparkSession, strings: Sequence[str], coeffs: Sequence[complex], ham_id: int = 0, force_real: bool = False) -> DataFrame:
-    """Strings and coefficients as terms (x, z, re, im).
+    """Strings and coefficients as terms (x, z, re, im); masks of strings of over 62 letters are limbs.
 
     ValueError: lengths differ, strings differ in length, or hold other letters than I, X, Y, Z.
     """
@@ -30,10 +31,9 @@ def from_paulisum(spark: SparkSession, strings: Sequence[str], coeffs: Sequence[
         raise ValueError("all strings need the same length")
     if any(set(s.upper()) - set("IXYZ") for s in strings):
         raise ValueError("strings hold the letters I, X, Y and Z only")
-    if any(len(s) > 62 for s in strings):
-        raise ValueError("masks of more than 62 qubits need limbs (ketframe.functions.limbs)")
     rows = [(ham_id, s, complex(c).real, complex(c).imag) for s, c in zip(strings, coeffs, strict=True)]
-    terms = fold_phase(symplectic(consolidate(spark.createDataFrame(rows, STRINGS))))
+    wide = any(len(s) > limbs.WIDTH for s in strings)
+    terms = fold_phase(symplectic(consolidate(spark.createDataFrame(rows, STRINGS)), wide))
     return real_only(terms) if force_real else terms.drop("ham_id")
 
 
@@ -48,15 +48,16 @@ def consolidate(strings: DataFrame) -> DataFrame:
     return up.groupBy("ham_id", "pauli").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).filter("re <> 0 or im <> 0")
 
 
-def symplectic(strings: DataFrame) -> DataFrame:
+def symplectic(strings: DataFrame, wide: bool = False) -> DataFrame:
+    """Strings with masks x and z, as limbs if ``wide``."""
     letters = F.upper("pauli")
     ok = F.when(letters.rlike("^[IXYZ]+$"), letters).otherwise(F.raise_error(F.concat(F.lit("not a Pauli string: "), F.coalesce("pauli", F.lit("null")))))
-    mask = lambda to: F.conv(F.translate(ok, "IXYZ", to), 2, 10).cast("long")
+    mask = lambda to: limbs.of_mask(F.translate(ok, "IXYZ", to)) if wide else F.conv(F.translate(ok, "IXYZ", to), 2, 10).cast("long")
     return strings.select("ham_id", letters.alias("pauli"), mask("0110").alias("x"), mask("0011").alias("z"), "re", "im")
 
 
 def fold_phase(terms: DataFrame) -> DataFrame:
-    re, im = times_minus_i(F.bit_count(F.col("x").bitwiseAND(F.col("z"))), F.col("re"), F.col("im"))
+    re, im = times_minus_i(limbs.Keys(terms, "x").common_bits(F.col("x"), F.col("z")), F.col("re"), F.col("im"))
     return terms.withColumns({"re": re + F.lit(0.0), "im": im + F.lit(0.0)}).select(*[c for c in ("ham_id",) if c in terms.columns], "x", "z", "re", "im")
 
 
@@ -67,23 +68,21 @@ def real_only(terms: DataFrame) -> DataFrame:
     return terms.withColumn("im", F.lit(0.0)).drop("ham_id")
 
 
-def is_real(terms: DataFrame) -> bool:
-    """Whether a plan without imaginary parts will do."""
-    return not terms.filter("im <> 0").limit(1).count()
-
-
 def group_by_x(terms: DataFrame) -> DataFrame:
     """One row an x mask: n_terms and terms (array of z, re, im in order of z). One look-up then serves all of them."""
     one = terms.groupBy("x", "z").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
     return one.groupBy("x").agg(F.count(F.lit(1)).alias("n_terms"), F.array_sort(F.collect_list(F.struct("z", "re", "im"))).alias("terms"))
 
 
-def matmul(terms: DataFrame, vectors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def matmul(terms: DataFrame, vectors: DataFrame, keys: Sequence[str] = (), num_qubits: int | None = None) -> DataFrame:
     """The Pauli sum times full-space vectors (keys..., i, re, im): one row each with the same columns.
 
     Each nonzero entry goes to i XOR x, so terms are dealt to entries (a Hamiltonian's terms are few and are
-    broadcast by the planner) and one partially aggregated shuffle on (keys, i) sums up.
+    broadcast by the planner) and one partially aggregated shuffle on (keys, i) sums up. With ``num_qubits``
+    a row number beyond the space is a ValueError.
     """
+    if num_qubits is not None and vectors.filter((F.col("i") < 0) | (F.col("i") >= 1 << num_qubits)).limit(1).count():
+        raise ValueError(f"vectors of {1 << num_qubits} entries are needed")
     t = terms.toDF("x", "z", "c_re", "c_im")
     moved = vectors.join(F.broadcast(t) if terms_fit(terms) else t)
     row = F.col("i").bitwiseXOR(F.col("x"))
@@ -101,11 +100,6 @@ def terms_fit(terms: DataFrame) -> bool:
     return terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
 
 
-def check_size(n_rows: int, num_qubits: int) -> None:
-    if n_rows != 1 << num_qubits:
-        raise ValueError(f"a vector of {1 << num_qubits} entries is needed, not {n_rows}")
-
-
 def arrays(terms: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Masks x and z and coefficients of a Hamiltonian's terms, ordered by (x, z); real if all of them are."""
     rows = terms.select("x", "z", "re", "im").orderBy("x", "z").collect()  # terms are few

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ketframe.functions.complexes import parity_sign
+from ketframe.functions.limbs import Keys
 from ketframe.operators.pauli_sum import group_by_x, terms_fit
 
 
@@ -73,17 +73,17 @@ def shift_intersect(states: DataFrame, x: int) -> DataFrame:
 
 def diag_signs(states: DataFrame, terms: DataFrame) -> DataFrame:
     """z, s and (-1)^|z AND s| for each z mask and state."""
-    return _dealt(states.select("s"), terms.select("z").distinct()).select("z", "s", parity_sign(F.col("z"), F.col("s")).cast("int").alias("sign"))
+    return _dealt(states.select("s"), terms.select("z").distinct()).select("z", "s", Keys(states, "s").sign(F.col("z"), F.col("s")).cast("int").alias("sign"))
 
 
 def group_diagonal(states: DataFrame, terms: DataFrame) -> DataFrame:
     """x, s, re, im: the sum of c (-1)^|z AND s| over an x mask's terms, made in place from its array of terms."""
-    return _dealt(states.select("s"), group_by_x(terms)).select("x", "s", *_diagonal(F.col("s")))
+    return _dealt(states.select("s"), group_by_x(terms)).select("x", "s", *_diagonal(F.col("s"), Keys(states, "s")))
 
 
-def _diagonal(s: Column) -> list[Column]:
+def _diagonal(s: Column, keys: Keys) -> list[Column]:
     def total(part: str) -> Column:
-        return F.aggregate("terms", F.lit(0.0), lambda a, t: a + t[part] * parity_sign(t["z"], s)).alias(part)
+        return F.aggregate("terms", F.lit(0.0), lambda a, t: a + t[part] * keys.sign(t["z"], s)).alias(part)
 
     return [total("re"), total("im")]
 
@@ -99,11 +99,11 @@ def hproj(states: DataFrame, terms: DataFrame) -> DataFrame:
     For each x mask a row has at most one column, r XOR x, so entries are complete without any
     aggregation: the one shuffle is the look-up of the column state.
     """
-    known = distinct_states(states)
-    asked = _dealt(known.select(F.col("s").alias("r")), group_by_x(terms)).withColumn("c", F.col("r").bitwiseXOR(F.col("x")))
+    known, keys = distinct_states(states), Keys(states, "s")
+    asked = _dealt(known.select(F.col("s").alias("r")), group_by_x(terms)).withColumn("c", keys.xor(F.col("r"), F.col("x")))
     found = asked.join(known.select(F.col("s").alias("c")), "c")
     # zero entries go inside a generator: as a filter they would be worked out before the look-up, for all pairs that it drops
-    entry = F.filter(F.array(F.struct(*_diagonal(F.col("r")))), lambda e: (e["re"] != 0) | (e["im"] != 0))
+    entry = F.filter(F.array(F.struct(*_diagonal(F.col("r"), keys))), lambda e: (e["re"] != 0) | (e["im"] != 0))
     return found.select("r", "c", F.inline(entry))
 
 
@@ -119,7 +119,8 @@ def apply_coo(matrix: DataFrame, vector: DataFrame) -> DataFrame:
 def apply_h(states: DataFrame, terms: DataFrame, vector: DataFrame) -> DataFrame:
     """H v without keeping H: each entry of v is sent where the terms move it, if that is in the set."""
     moved = _dealt(vector.select(F.col("s").alias("c"), F.col("re").alias("v_re"), F.col("im").alias("v_im")), group_by_x(terms))
-    moved = moved.withColumn("r", F.col("c").bitwiseXOR(F.col("x"))).select("r", "v_re", "v_im", *_diagonal(F.col("c").bitwiseXOR(F.col("x"))))
+    keys = Keys(states, "s")
+    moved = moved.withColumn("r", keys.xor(F.col("c"), F.col("x"))).select("r", "v_re", "v_im", *_diagonal(F.col("r"), keys))
     re = F.col("re") * F.col("v_re") - F.col("im") * F.col("v_im")
     im = F.col("re") * F.col("v_im") + F.col("im") * F.col("v_re")
     summed = moved.select("r", re.alias("re"), im.alias("im")).groupBy("r").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
@@ -128,7 +129,7 @@ def apply_h(states: DataFrame, terms: DataFrame, vector: DataFrame) -> DataFrame
 
 def start_state(states: DataFrame, terms: DataFrame) -> DataFrame:
     """The state with the least diagonal entry (of equals the smallest); without diagonal terms the smallest state."""
-    diagonal = group_diagonal(distinct_states(states), terms).filter("x = 0").select("s", "re")
+    diagonal = group_diagonal(distinct_states(states), terms).filter(Keys(states, "s").is_zero(F.col("x"))).select("s", "re")
     best = diagonal.agg(F.min(F.struct("re", "s")).alias("best")).select(F.col("best.s").alias("s1"))
     return best.join(distinct_states(states).agg(F.min("s").alias("s0"))).select(F.coalesce("s1", "s0").alias("s"))
 

@@ -197,6 +197,31 @@ def apply_h(spark, d):
     return subspace.apply_h(fixtures.states_orders(spark, d), fixtures.terms_part12(spark, d), _v12(spark, d)).select("s", *_real("re", "im"))
 
 
+# the same subspace over 72 qubits: the low six bits stay, the others move to bit 66 and up, so keys are two limbs
+def _spread(column: str) -> Column:
+    return F.array(F.shiftleft(F.shiftright(column, 6), 4), F.col(column).bitwiseAND(F.lit(63))).alias(column)
+
+
+def _wide(spark, d) -> tuple[DataFrame, DataFrame]:
+    return fixtures.states_orders(spark, d).select(_spread("s")), fixtures.terms_part12(spark, d).select(_spread("x"), _spread("z"), "re", "im")
+
+
+_HALVES = lambda c: f"{B(f'({c} >> 6) << 4', f'{c}_high')}, {B(f'{c} & 63', f'{c}_low')}"
+
+
+@_query(f"SELECT {_HALVES('r')}, {_HALVES('c')}, re + 0e0 AS re, im + 0e0 AS im FROM ({sql.hproj(sql.STATES, sql.TERMS12)})")
+def hproj_limbs(spark, d):
+    half = lambda c: [F.get(c, F.lit(0)).alias(f"{c}_high"), F.get(c, F.lit(1)).alias(f"{c}_low")]
+    return subspace.hproj(*_wide(spark, d)).select(*half("r"), *half("c"), *_real("re", "im"))
+
+
+@_query(f"SELECT {_HALVES('s')}, re, im FROM ({_HV})")
+def apply_h_limbs(spark, d):
+    states, terms = _wide(spark, d)
+    out = subspace.apply_h(states, terms, _v12(spark, d).select(_spread("s"), "re", "im"))
+    return out.select(F.get("s", F.lit(0)).alias("s_high"), F.get("s", F.lit(1)).alias("s_low"), *_real("re", "im"))
+
+
 @_query(f"SELECT sum(a.re * b.re) AS re, 0e0 AS im FROM ({_counted('l_partkey', _V0)}) a JOIN ({_counted('l_partkey', _V1)}) b ON a.s = b.s")
 def inner_product(spark, d):
     return subspace.inner_product(_vector(spark, d, "l_partkey", _V0), _vector(spark, d, "l_partkey", _V1))

@@ -59,8 +59,9 @@ def test_pauli_sum_errors(spark):
     for strings, coeffs in ((["XX"], [1, 2]), (["XX", "X"], [1, 2]), (["XQ"], [1])):
         with pytest.raises(ValueError):
             pauli_sum.from_paulisum(spark, strings, coeffs)
+    terms, rows = pauli_sum.from_paulisum(spark, ["XYZ"], [1]), spark.createDataFrame([(8, 1.0, 0.0)], "i long, re double, im double")
     with pytest.raises(ValueError):
-        pauli_sum.check_size(7, 3)
+        pauli_sum.matmul(terms, rows, num_qubits=3)
     bad = spark.createDataFrame([(0, "XA", 1.0, 0.0)], pauli_sum.STRINGS)
     with pytest.raises(Exception, match="not a Pauli string"):
         pauli_sum.parse(bad).collect()
@@ -73,7 +74,25 @@ def test_consolidation_drops_what_cancels(spark):
 def test_force_real_warns(spark):
     with pytest.warns(UserWarning):
         assert pauli_sum.from_paulisum(spark, ["X"], [1 + 1j], force_real=True).first()["im"] == 0
-    assert pauli_sum.is_real(pauli_sum.from_paulisum(spark, ["X"], [1]))
+    assert not np.iscomplexobj(pauli_sum.arrays(pauli_sum.from_paulisum(spark, ["X"], [1]))[2])
+
+
+def test_more_qubits_than_a_long_holds(spark):
+    """Strings of 70 letters whose middle is the identity, on a subspace whose middle qubits are 0, against the short ones."""
+    strings, coeffs = ["XYZI", "ZZIX", "IIXX", "YIIY", "IIII", "IYYZ"], [1, 2j, -1, 0.5, 3, 1 - 1j]
+    m = dense(strings, coeffs)
+    terms = pauli_sum.from_paulisum(spark, [s[:2] + "I" * 66 + s[2:] for s in strings], coeffs)
+    number = lambda limb: (limb[0] << 62) + limb[1]
+    short = {(i >> 2 << 68) + (i & 3): i for i in range(16)}
+    few = [i for i in range(16) if i not in (3, 8, 9)]
+    states = spark.createDataFrame([(format((i >> 2 << 68) + (i & 3), "070b"),) for i in [*few, few[0]]], "b string").select(limbs.of_mask(F.col("b")).alias("s"))
+    want = {(r, c): m[r, c] for r in few for c in few if abs(m[r, c]) > 1e-12}
+    got = {(short[number(x["r"])], short[number(x["c"])]): complex(x["re"], x["im"]) for x in subspace.hproj(states, terms).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    v = subspace.distinct_states(states).select("s", F.element_at("s", -1).cast("double").alias("re"), F.lit(1.0).alias("im"))
+    full = np.array([(i & 3) + 1j if i in few else 0 for i in range(16)])
+    out = {short[number(x["s"])]: complex(x["re"], x["im"]) for x in subspace.apply_h(states, terms, v).collect()}
+    assert all(abs(out.get(i, 0) - (m @ full)[i]) < 1e-12 for i in few)
 
 
 def test_limbs(spark):
