@@ -412,7 +412,8 @@ def repeated_runs(source: DataFrame, span: int, gram: int, places: bool = True)
     one = long.join(wanted, ["key_id", "key_text"])
     lost = saved(_sorted_shards(_contexts(one), span, places), "lost")
     settled = contexts.filter("apart").select("h", "s", (-F.col("back")).cast("long").alias("a"), F.col("ahead").cast("long").alias("b"))
-    runs = lost.union(settled).groupBy("h", "s").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    # written first, so that the join below is one of two tables, of which a hot context's part can be split
+    runs = saved(lost.union(settled).groupBy("h", "s").agg(F.collect_set(F.struct("a", "b")).alias("runs")), "runs")
     return found.join(runs, ["h", "s"]).groupBy("key_id", "key_text").agg(F.collect_list(F.struct("place", "runs")).alias("lost"))
 
 
