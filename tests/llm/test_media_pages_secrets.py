@@ -254,6 +254,26 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(out.collect(), out.schema)
 
 
+def test_stages_on_awkward_and_empty_tables(spark, documents):
+    """Nulls, empty and long texts, repeated rows and further columns go through all stages; so does a table without rows."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs = documents
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, FOLDER)
+        none = stage(spark, docs.limit(0), FOLDER)
+        assert none.columns == out.columns and none.count() == 0
+        rows = out.collect()
+        if name == "packing":
+            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+            break
+        assert out.columns == documents.columns
+        before, after = sorted(map(repr, docs.drop("text", "n_chars").collect())), sorted(map(repr, out.drop("text", "n_chars").collect()))
+        assert rows and set(after) <= set(before)
+        if name == "line_dedup":
+            assert before == after
+        docs = spark.createDataFrame(rows, out.schema)
+
+
 def test_nothing_else_imports_this_subpackage():
     import pathlib
 
