@@ -477,3 +477,16 @@ def test_short_lines_repeat_too(spark, monkeypatch):
     monkeypatch.setattr(entries, "_read", lambda *a: df)
     out = {r["doc_id"]: r["n_removed"] for r in entries.op5_line_dedup(spark, "").collect()}
     assert out == {1: 0, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
+def test_sql_twins(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        db.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
+    got, want = entries.queries()[name](spark, FOLDER), db.execute(entries.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(want.fetchall())
