@@ -195,6 +195,42 @@ def eigenvalue_3x3(a: str, b: str, c: str, d: str, e: str, f: str, d_im: str = "
     return F.expr(f"case when {p} = 0 then {q} else {q} + 2 * {p} * cos({angle} + 2 * pi() / 3) end")
 
 
+def _unit(parts: list[tuple[str, str]]) -> str:
+    """An array of (re, im), of unit length; the first basis vector if there is nothing to scale."""
+    size = "sqrt(" + " + ".join(f"({re}) * ({re}) + ({im}) * ({im})" for re, im in parts) + ")"
+    first = [("1e0" if i == 0 else "0e0", "0e0") for i in range(len(parts))]
+    shown = lambda ps, scale: "array(" + ", ".join(f"named_struct('re', ({re}) / {scale}, 'im', ({im}) / {scale})" for re, im in ps) + ")"
+    return f"case when {size} = 0 then {shown(first, '1e0')} else {shown(parts, size)} end"
+
+
+def _norm2(parts: list[tuple[str, str]]) -> str:
+    return "(" + " + ".join(f"({re}) * ({re}) + ({im}) * ({im})" for re, im in parts) + ")"
+
+
+def eigenvector_2x2(a: str, d: str, b_re: str, b_im: str, value: str):
+    """A unit eigenvector (array of re, im) of [[a, b], [b*, d]] to the eigenvalue in the column ``value``: of the two rows that it is orthogonal to, the longer one gives it."""
+    upper, lower = [(b_re, b_im), (f"{value} - {a}", "0e0")], [(f"{value} - {d}", "0e0"), (b_re, f"-{b_im}")]
+    return F.expr(f"case when {_norm2(upper)} >= {_norm2(lower)} then {_unit(upper)} else {_unit(lower)} end")
+
+
+def eigenvector_3x3(a: str, b: str, c: str, d: str, e: str, f: str, value: str, d_im: str = "0e0", e_im: str = "0e0", f_im: str = "0e0"):
+    """A unit eigenvector (array of re, im) of the matrix of ``eigenvalue_3x3`` to the eigenvalue in the column ``value``.
+
+    It is the longest cross product of two rows of M - value. Where these vanish beside the matrix, as for a double
+    eigenvalue, any vector orthogonal to the longest row will do.
+    """
+    rows = [[(f"{a} - {value}", "0e0"), (d, d_im), (e, e_im)], [(d, f"-{d_im}"), (f"{b} - {value}", "0e0"), (f, f_im)], [(e, f"-{e_im}"), (f, f"-{f_im}"), (f"{c} - {value}", "0e0")]]
+    times = lambda p, q: (f"(({p[0]}) * ({q[0]}) - ({p[1]}) * ({q[1]}))", f"(({p[0]}) * ({q[1]}) + ({p[1]}) * ({q[0]}))")
+    minus = lambda p, q: (f"({p[0]} - {q[0]})", f"({p[1]} - {q[1]})")
+    cross = lambda u, v: [minus(times(u[i], v[j]), times(u[j], v[i])) for i, j in ((1, 2), (2, 0), (0, 1))]
+    crossed = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    # orthogonal to a row: its two longest places exchanged
+    flat = [[r[1], (f"-({r[0][0]})", f"-({r[0][1]})"), ("0e0", "0e0")] if i < 2 else [("0e0", "0e0"), r[2], (f"-({r[1][0]})", f"-({r[1][1]})")] for i, r in enumerate(rows)]
+    longest = lambda options, by: "case " + " ".join(f"when {by[i]} >= greatest({', '.join(by)}) then {_unit(o)}" for i, o in enumerate(options)) + " end"
+    sizes, lengths = [_norm2(x) for x in crossed], [_norm2(r) for r in rows]
+    return F.expr(f"case when greatest({', '.join(sizes)}) > 1e-20 * pow(greatest({', '.join(lengths)}), 2) then {longest(crossed, sizes)} else {longest(flat, lengths)} end")
+
+
 @dataclass(frozen=True)
 class SQDOptions:
     """cache_strategy (x, z): what is kept between products (0 nothing, 1 look-ups or signs, 2 diagonals); with anything kept the projected matrix is written once."""

@@ -248,6 +248,23 @@ def test_eigenvalues_of_small_matrices(spark):
         assert r.w == pytest.approx(np.linalg.eigvalsh(np.array([[r.a, r.d + 1j * r.e], [r.d - 1j * r.e, r.b]]))[0], abs=1e-9)
 
 
+def test_small_eigenvectors(spark):
+    """Complex Hermitian matrices, and such with equal eigenvalues: M v = value v, v of length 1."""
+    rng = np.random.default_rng(8)
+    rows = [tuple(float(x) for x in rng.standard_normal(9)) for _ in range(40)]
+    rows += [(1.0, 0.0, 5.0, *[0.0] * 6), (2.0, 2.0, 2.0, *[0.0] * 6), (1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 3.0, *[0.0] * 6), (2.0, 1.0, 2.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0), (0.0, 3.0, 0.0, *[0.0] * 6), (3.0, 0.0, 0.0, *[0.0] * 6)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in "abcdefghi"))
+    df = df.withColumns({"v3": solver.eigenvalue_3x3(*"abcdefghi"), "v2": solver.eigenvalue_2x2("a", "b", "d", "g")})
+    for r in df.select("*", solver.eigenvector_3x3(*"abcdef", "v3", *"ghi").alias("x3"), solver.eigenvector_2x2("a", "b", "d", "g", "v2").alias("x2")).collect():
+        u, w, v = complex(r.d, r.g), complex(r.e, r.h), complex(r.f, r.i)
+        m = np.array([[r.a, u, w], [u.conjugate(), r.b, v], [w.conjugate(), v.conjugate(), r.c]])
+        for matrix_, value, vector_ in ((m, r.v3, r.x3), (m[:2, :2], r.v2, r.x2)):
+            x = np.array([complex(p["re"], p["im"]) for p in vector_])
+            assert value == pytest.approx(np.linalg.eigvalsh(matrix_)[0], abs=1e-7)
+            assert np.linalg.norm(x) == pytest.approx(1)
+            assert np.linalg.norm(matrix_ @ x - value * x) < 1e-5
+
+
 def test_qprint(spark):
     text = lambda a, **k: pretty.qprint(spark, np.array(a), output="text", **k)
     assert text([1, 1, 0]).strip() == "|0> + |1>"
