@@ -233,7 +233,7 @@ def eigenvector_3x3(a: str, b: str, c: str, d: str, e: str, f: str, value: str,
 
 @dataclass(frozen=True)
 class SQDOptions:
-    """cache_strategy (x, z): what is kept between products (0 nothing, 1 look-ups or signs, 2 diagonals); with anything kept the projected matrix is written once."""
+    """cache_strategy (x, z): what is kept between distributed products (0 nothing, 1 look-ups or signs, 2 diagonals); a matrix that surely fits a worker is solved there unless nothing is to be kept."""
 
     return_eigvec: bool = True
     cache_strategy: tuple[int, int] = (1, 0)
@@ -257,17 +257,15 @@ def sqd(terms: DataFrame, states: DataFrame, options: SQDOptions | None = None):
     if first is None or first["s"] is None:
         raise ValueError("no states")
     start = int(first["s"])
-    if options.cache_strategy == (0, 0):
-        energy, vector, _ = ground_state(lambda v: subspace.apply_h(known, terms, v), spark.createDataFrame([(start, 1.0, 0.0)], "s long, re double, im double"), options.maxiter, options.tol or 1e-12)
+    # every mask gives a state one entry at most
+    if options.cache_strategy != (0, 0) and known.count() * terms.select("x").distinct().count() <= LOCAL_ENTRIES:
+        one = subspace.hproj(known, terms).select(F.lit(0).cast("long").alias("ham_id"), "*", F.lit(start).alias("start"))
+        solved = saved(solve_each(one, "ham_id", maxiter=options.maxiter, tol=options.tol).select("energy", "vector"), "solved")
+        row = solved.select("energy").first()
+        energy = row["energy"] if row else 0.0
+        # the vector stays on the executors
+        vector = solved.select(F.inline("vector")).select("s", "re", "im") if row else spark.createDataFrame([(start, 1.0, 0.0)], "s long, re double, im double")
     else:
-        matrix = saved(subspace.hproj(known, terms), "hproj")
-        if matrix.count() <= LOCAL_ENTRIES:
-            one = matrix.select(F.lit(0).cast("long").alias("ham_id"), "*", F.lit(start).alias("start"))
-            solved = saved(solve_each(one, "ham_id", maxiter=options.maxiter, tol=options.tol).select("energy", "vector"), "solved")
-            row = solved.select("energy").first()
-            energy = row["energy"] if row else 0.0
-            # the vector stays on the executors
-            vector = solved.select(F.inline("vector")).select("s", "re", "im") if row else spark.createDataFrame([(start, 1.0, 0.0)], "s long, re double, im double")
-        else:
-            energy, vector, _ = ground_state(matrix, spark.createDataFrame([(start, 1.0, 0.0)], "s long, re double, im double"), options.maxiter, options.tol or 1e-12)
+        product = subspace.cached_product(known, terms, options.cache_strategy)
+        energy, vector, _ = ground_state(product, spark.createDataFrame([(start, 1.0, 0.0)], "s long, re double, im double"), options.maxiter, options.tol or 1e-12)
     return (energy, vector, known) if options.return_eigvec else energy

@@ -1,16 +1,19 @@
 """Sampled subspaces: distinct states, XOR look-ups, the projected Hamiltonian and its product with vectors.
 
-States are integers (a bit string of up to 62 qubits); vectors and matrices are keyed by them, so no
+States are integers (a bit string of up to 62 qubits) or arrays of limbs; vectors and matrices are keyed by them, so no
 dense index, filler or sort is needed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ketframe.functions.limbs import Keys
 from ketframe.operators.pauli_sum import group_by_x, terms_fit
+from ketframe.session import saved
 
 
 def pack(bits: DataFrame, column: str = "bits") -> DataFrame:
@@ -57,7 +60,7 @@ def xsource(states: DataFrame, x: int | Column) -> DataFrame:
 
 def xsource_all(states: DataFrame, masks: DataFrame) -> DataFrame:
     """x, dst, src for every mask, rows without a source left out (zero for all purposes)."""
-    asked = _dealt(states.select(F.col("s").alias("dst")), masks.select("x").distinct()).withColumn("src", F.col("dst").bitwiseXOR(F.col("x")))
+    asked = _dealt(states.select(F.col("s").alias("dst")), masks.select("x").distinct()).withColumn("src", Keys(states, "s").xor(F.col("dst"), F.col("x")))
     return asked.join(states.select(F.col("s").alias("src")), "src").select("x", "dst", "src")
 
 
@@ -127,6 +130,45 @@ def apply_h(states: DataFrame, terms: DataFrame, vector: DataFrame) -> DataFrame
     return summed.join(distinct_states(states).withColumnRenamed("s", "r"), "r", "left_semi").withColumnRenamed("r", "s")
 
 
+def cached_product(known: DataFrame, terms: DataFrame, strategy: tuple[int, int]) -> Callable[[DataFrame], DataFrame]:
+    """v -> H v on distinct states, with what ``strategy`` names written once for all products.
+
+    Its first part keeps the look-ups of all masks (1) or finds them anew (0). Its second part keeps the
+    signs of all terms (1), the diagonals of all masks (2), or works them out in place (0). With both
+    look-ups and diagonals kept that is the projected matrix.
+    """
+    keep_x, keep_z = strategy
+    if strategy == (0, 0):
+        return lambda v: apply_h(known, terms, v)
+    if strategy == (1, 2):
+        matrix = saved(hproj(known, terms), "hproj")
+        return lambda v: apply_coo(matrix, v)
+    keys, groups = Keys(known, "s"), saved(group_by_x(terms), "terms")
+    sources = saved(xsource_all(known, terms), "sources") if keep_x else None
+    signs = saved(diag_signs(known, terms), "signs").withColumnRenamed("s", "dst") if keep_z == 1 else None
+    diagonals = saved(group_diagonal(known, terms), "diagonals").withColumnRenamed("s", "dst") if keep_z == 2 else None
+
+    def product(vector: DataFrame) -> DataFrame:
+        v = vector.select(F.col("s").alias("src"), F.col("re").alias("v_re"), F.col("im").alias("v_im"))
+        if keep_x:
+            moved = sources.join(v, "src").drop("src")
+        else:
+            sent = _dealt(v, groups.select("x")).withColumn("dst", keys.xor(F.col("src"), F.col("x"))).drop("src")
+            moved = sent.join(known.withColumnRenamed("s", "dst"), "dst", "left_semi")
+        if keep_z == 2:
+            full = moved.join(diagonals, ["x", "dst"])
+        elif keep_z == 1:
+            each = moved.join(groups, "x").select("dst", "v_re", "v_im", F.inline("terms")).join(signs, ["z", "dst"])
+            full = each.withColumns({"re": F.col("re") * F.col("sign"), "im": F.col("im") * F.col("sign")})
+        else:
+            full = moved.join(groups, "x").select("dst", "v_re", "v_im", *_diagonal(F.col("dst"), keys))
+        re = F.col("re") * F.col("v_re") - F.col("im") * F.col("v_im")
+        im = F.col("re") * F.col("v_im") + F.col("im") * F.col("v_re")
+        return full.select(F.col("dst").alias("s"), re.alias("re"), im.alias("im")).groupBy("s").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+    return product
+
+
 def start_state(states: DataFrame, terms: DataFrame) -> DataFrame:
     """The state with the least diagonal entry (of equals the smallest); without diagonal terms the smallest state."""
     diagonal = group_diagonal(distinct_states(states), terms).filter(Keys(states, "s").is_zero(F.col("x"))).select("s", "re")

@@ -248,6 +248,18 @@ def test_eigenvalues_of_small_matrices(spark):
         assert r.w == pytest.approx(np.linalg.eigvalsh(np.array([[r.a, r.d + 1j * r.e], [r.d - 1j * r.e, r.b]]))[0], abs=1e-9)
 
 
+@pytest.mark.parametrize("strategy", [(x, z) for x in (0, 1) for z in (0, 1, 2)])
+def test_products_by_what_is_kept(spark, strategy):
+    strings, coeffs = ["XYZ", "ZZI", "IIX", "YIY", "III", "XYI"], [1, 2j, -1, 0.5, 3, 1 - 1j]
+    few = [0, 1, 2, 5, 6, 7]
+    m, v = dense(strings, coeffs), np.array([i + 1j if i in few else 0 for i in range(8)])
+    states = spark.createDataFrame([(i,) for i in few], "s long")
+    rows = spark.createDataFrame([(i, float(i), 1.0) for i in few], "s long, re double, im double")
+    product = subspace.cached_product(states, pauli_sum.from_paulisum(spark, strings, coeffs), strategy)
+    got = vector(product(rows).collect(), 8, "s")
+    assert np.allclose(got[few], (m @ v)[few]) and np.allclose(np.delete(got, few), 0)
+
+
 def test_small_eigenvectors(spark):
     """Complex Hermitian matrices, and such with equal eigenvalues: M v = value v, v of length 1."""
     rng = np.random.default_rng(8)
