@@ -25,9 +25,21 @@ from pyspark.sql import functions as F
 
 from ketframe.session import ship
 
-#: A word: a run of letters (\p{L}): word characters other than digits, other numbers such as a half, and _.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-words_of = re.compile(rf"[^\W\d_{_NUMBERS}]+").findall
+_letters = re.compile(r"[^\W\d_]+").findall
+#: Numbers that the classes above take for letters: a half, a raised two, Roman numerals. The first plane apart, whose characters one look-up tells.
+_NUMBERS = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")]
+_numbers, _far_numbers = (re.compile("[" + "".join(c for c in _NUMBERS if (c > "\uffff") == far) + "]+") for far in (False, True))
+_far = re.compile("[\U00010000-\U0010ffff]").search
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters (the Unicode class L). Numbers that aren't digits are cut out first: in one pattern they would be tried one by one at each character."""
+    if not text.isascii():
+        text = _numbers.sub(" ", text)
+        if _far(text):
+            text = _far_numbers.sub(" ", text)
+    return _letters(text)
+
 
 #: Symbols that any model reckons with; an unseen one gets its share of the unigram discount.
 ALPHABET = 4096

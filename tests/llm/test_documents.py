@@ -432,6 +432,7 @@ def test_letters_are_what_makes_words(spark):
     """Numbers that aren't decimal digits are no letters; a text without letters is undetermined."""
     docs = spark.createDataFrame([(1, "½ ² Ⅷ 12 _"), (2, "ab Ⅷcd½ é"), (3, None), (4, "")], "doc_id long, text string")
     assert langid.words_of("ab Ⅷcd½ é_f²") == ["ab", "cd", "é", "f"]
+    assert langid.words_of("ab𐄇cd𝐀 x") == ["ab", "cd𝐀", "x"]
     out = langid.identify(docs, langid.Model({"x": ["ab cd"]})).collect()
     assert {r["doc_id"]: r["lang_pred"] for r in out} == {1: "und", 2: "x", 3: "und", 4: "und"}
 
