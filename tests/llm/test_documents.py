@@ -480,6 +480,45 @@ def test_short_lines_repeat_too(spark, monkeypatch):
     assert out == {1: 0, 2: 2, 3: 1}
 
 
+def test_lines_with_one_passage_are_few_pairs(spark, prose, monkeypatch):
+    """Beginnings of many lengths before one passage, near the limit of what is linked: as brute force, and each pair is made once at most."""
+    passage, pairs = prose(80, 40), []
+    texts = [(i, f"{prose(3000 + i, 1 + i % 23)} {passage}") for i in range(160)]
+    cross = line_dedup.cross_pairs
+
+    def counted(placed, keys, columns, near):
+        pairs.append(placed.sparkSession.createDataFrame(cross(placed, keys, columns, near).collect(), "a long, b long"))
+        both = placed.alias("x").join(placed.alias("y"), F.expr("x.list = y.list and x.node < y.node and x.g <> y.g"))
+        per = both.filter(near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")) if "ls" not in columns else F.expr("x.list = array_min(array_intersect(x.ls, y.ls))"))
+        assert per.count() == per.select("x.node", "y.node").distinct().count()
+        return pairs[-1]
+
+    monkeypatch.setattr(line_dedup, "cross_pairs", counted)
+    out = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    gone, links = brute_lines(texts)
+    assert links > 1000 and {r["doc_id"] for r in out if r["n_removed"]} == set(gone)
+    assert len(pairs) == 1 and pairs[0].count() < links
+
+
+def test_only_what_may_be_aligned_stays_in_a_list(spark):
+    """Members of a list whose neighbourhood can't be aligned with any other's go, and no other."""
+    import random
+
+    rng, rows = random.Random(5), []
+    for g in range(60):
+        for node in range(rng.choice([2, 3, 4, 9, 40])):
+            rows.append((g, node, rng.randrange(60), rng.randrange(60), g % 20 > 0))
+    got = line_dedup._company(spark.createDataFrame(rows, "g long, node long, before int, after int, sure boolean"), 0.8)
+    got = {(r["g"], r["node"]) for r in got.collect()}
+    must = set()
+    for x, y in itertools.permutations(rows, 2):
+        if x[0] == y[0]:
+            most = int(0.2 * max(x[2] + x[3], y[2] + y[3]) + 1e-9)
+            if not x[4] or abs(x[2] - y[2]) + abs(x[3] - y[3]) <= most:
+                must.add(x[:2])
+    assert must <= got and len(got) < len(rows)
+
+
 @pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
 def test_sql_twins(spark, name):
     import duckdb
