@@ -21,11 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ketframe.llm.native import drawn
 from ketframe.session import saved, ship
 
 RATE, FRAME, HOP = 11_025, 4096, 1365
 LOWEST, HIGHEST, CLASSES, WIDTH = 28.0, 3520.0, 12, 16
+#: Steps of a filter's value in one; values lie within 4.1 of 0.
+STEPS = 4096
 #: Weights of five neighbouring frames in smoothing.
 _SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25], np.float32)
 #: Frames aligned that a link needs at least, as a share of the shorter recording, and its highest share of differing bits.
@@ -118,38 +119,67 @@ def sound_of(numbers: np.ndarray) -> np.ndarray:
     return (np.sin(2 * np.pi * np.cumsum(step)) * 12_000).astype(np.int16)
 
 
-def learn_cuts(recordings: DataFrame, sample: int = 200, rec_id: str = "rec_id", pcm: str = "pcm", decode: Callable = _samples) -> np.ndarray:
-    """Quartiles of each filter over at most ``sample`` recordings (those of smallest hash of id and content): the quantiser.
+def measured(recordings: DataFrame, rec_id: str = "rec_id", pcm: str = "pcm", decode: Callable = _samples) -> DataFrame:
+    """rec_id and levels: the sixteen filters' values in steps of 1 / ``STEPS``, 16-bit numbers one place of the frames after another (null for a null recording).
 
-    Only the filters' values leave the executors.
+    ``decode`` makes 16-bit samples of a value of the media column, one recording at a time.
     """
     ship(recordings.sparkSession)
 
-    @F.pandas_udf("array<float>")
-    def values_of(part: pd.Series) -> pd.Series:
-        return pd.Series([responses(chroma(decode(x))).astype(np.float32).ravel() for x in part])
+    @F.pandas_udf("binary")
+    def levels_of(part: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else np.rint(responses(chroma(decode(x))) * STEPS).astype(np.int16).tobytes() for x in part], dtype=object)
 
-    some = drawn(recordings.select(F.col(rec_id).alias("rec_id"), F.col(pcm).alias("pcm")).filter("pcm is not null"), ["rec_id", "pcm"], sample)
-    rows = sorted(some.select("draw_key", values_of("pcm").alias("values")).collect(), key=lambda r: (r["draw_key"], r["values"]))[:sample]
-    values = np.concatenate([np.array(r["values"], np.float32).reshape(-1, 16) for r in rows if r["values"]] or [np.zeros((1, 16))])
-    return np.quantile(values, [0.25, 0.5, 0.75], axis=0).T
+    return recordings.select(F.col(rec_id).cast("long").alias("rec_id"), levels_of(F.col(pcm)).alias("levels"))
 
 
-def fingerprints(recordings: DataFrame, cuts: np.ndarray, rec_id: str = "rec_id", pcm: str = "pcm", decode: Callable = _samples) -> DataFrame:
-    """rec_id, fp (array<int>, empty for a null or short recording) and weak (each integer's unsure bits).
+def _values(levels: bytes | None) -> np.ndarray:
+    return np.frombuffer(levels or b"", np.int16).reshape(-1, 16) / STEPS
 
-    ``decode`` makes 16-bit samples of a value of the media column, one recording at a time.
+
+def cuts_of(levels: DataFrame) -> np.ndarray:
+    """Quartiles of each filter over all of ``measured`` recordings: the quantiser.
+
+    Executors count how often each value occurs; only the quartiles reach the driver. Without any
+    value all are 0.
     """
-    ship(recordings.sparkSession)
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, base = np.zeros(16 << 16, np.int64), (np.arange(16) << 16) + (1 << 15)
+        for part in parts:
+            for x in part["levels"]:
+                np.add.at(seen, (np.frombuffer(x, np.int16).reshape(-1, 16) + base).ravel(), 1)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"filter": (at >> 16).astype(np.int32), "level": (at & 0xFFFF) - (1 << 15), "n": seen[at]})
+
+    counts = levels.filter("levels is not null").select("levels").mapInPandas(count, "filter int, level long, n long")
+    out = np.zeros((16, 3))
+    for r in counts.groupBy("filter").agg(F.expr("percentile(level, array(0.25, 0.5, 0.75), n)").alias("cuts")).collect():
+        out[r["filter"]] = np.array(r["cuts"]) / STEPS
+    return out
+
+
+def prints_of(levels: DataFrame, cuts: np.ndarray) -> DataFrame:
+    """rec_id, fp (array<int>, empty for a null or short recording) and weak (each integer's unsure bits) of ``measured`` recordings."""
 
     @F.pandas_udf("fp array<int>, weak array<int>")
     def print_of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         none = np.zeros(0, np.int32)
         for part in parts:
-            values = [responses(chroma(decode(x))) if x is not None else none for x in part]
+            values = [_values(x) for x in part]
             yield pd.DataFrame({"fp": [pack(v, cuts).view(np.int32) if len(v) else none for v in values], "weak": [weak_bits(v, cuts) if len(v) else none for v in values]})
 
-    return recordings.select(F.col(rec_id).cast("long").alias("rec_id"), print_of(F.col(pcm)).alias("f")).select("rec_id", "f.fp", "f.weak")
+    return levels.select("rec_id", print_of("levels").alias("f")).select("rec_id", "f.fp", "f.weak")
+
+
+def learn_cuts(recordings: DataFrame, rec_id: str = "rec_id", pcm: str = "pcm", decode: Callable = _samples) -> np.ndarray:
+    """The quantiser of all ``recordings``."""
+    return cuts_of(measured(recordings, rec_id, pcm, decode))
+
+
+def fingerprints(recordings: DataFrame, cuts: np.ndarray, rec_id: str = "rec_id", pcm: str = "pcm", decode: Callable = _samples) -> DataFrame:
+    """rec_id, fp and weak of ``recordings``, as ``prints_of`` gives them."""
+    return prints_of(measured(recordings, rec_id, pcm, decode), cuts)
 
 
 def _probes() -> Column:

@@ -80,6 +80,16 @@ def test_integral_image_sums():
     assert kind == 0 and out[2, 0] == pytest.approx(np.log1p(part) - np.log1p(frames[2:18].sum() - part), rel=1e-4)
 
 
+def test_cuts_come_from_all_recordings(spark):
+    """More recordings than any sample: quartiles of every value, in whole steps."""
+    rng = np.random.default_rng(6)
+    rows = [(i, chroma.sound_of(rng.normal(size=24) * (0.02 if i % 3 else 0.3)).tobytes()) for i in range(600)]
+    values = np.concatenate([np.rint(chroma.responses(chroma.chroma(np.frombuffer(x, np.int16))) * chroma.STEPS) for _, x in rows])
+    cuts = chroma.learn_cuts(spark.createDataFrame([*rows, (None, None), (7, b"")], "rec_id long, pcm binary"))
+    assert np.allclose(cuts * chroma.STEPS, np.quantile(values, [0.25, 0.5, 0.75], axis=0).T, atol=1e-6)
+    assert not chroma.learn_cuts(spark.createDataFrame([], "rec_id long, pcm binary")).any()
+
+
 def test_no_recordings(recordings):
     assert chroma.align(chroma.fingerprints(recordings.limit(0), np.zeros((16, 3)))).count() == 0
 
