@@ -350,6 +350,24 @@ def test_suffix_array_and_common_prefixes(strings):
             assert prefix[b] == n
 
 
+def test_grams_are_sorted_by_name(prose):
+    """What a shard sorts is its contexts without the grams they share, and the same strings repeat."""
+    span, gram = 400, 240
+    shared = prose(40, 200).encode()
+    texts = [prose(41 + i, 40).encode() + shared[i : 700 + 5 * i] + prose(51 + i, 40).encode() for i in range(5)] + [b"to " * 300, b"x" + b"to " * 200]
+    number, place, h, _, back, ahead = suffix_dedup.anchors(texts, span, gram)
+    bodies = [texts[n][p - b : p + a] for n, p, b, a in zip(number, place, back, ahead, strict=True)]
+    codes = (number << 40) + place - back
+    named, less = suffix_dedup.named_grams(bodies, back, gram)
+    assert 2 * sum(map(len, named)) < 1.3 * sum(map(len, bodies)) and less > 200
+    for g in set(h.tolist()):
+        at = np.flatnonzero(h == g)
+        want = suffix_dedup.repeated_starts([bodies[i] for i in at], codes[at], span)
+        got = suffix_dedup.repeated_starts([named[i] for i in at], codes[at], span - less)
+        gone = [{(codes[i] + p) for i, w in zip(at, x, strict=True) for s in w for p in range(s, s + span)} for x in (want, got)]
+        assert gone[0] == gone[1]
+
+
 def test_contexts_of_one_anchor_are_split_into_parts(spark, prose, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART", 3)
     shared = prose(30, 120)
