@@ -368,6 +368,18 @@ def test_grams_are_sorted_by_name(prose):
         assert gone[0] == gone[1]
 
 
+def test_each_anchor_loses_one_run(spark, prose):
+    """However many parts find something of a context: what they find holds its gram."""
+    shared = prose(90, 150)
+    texts = [(i, i, prose(91 + i, 40) + shared[7 * i : 560 + 9 * i] + prose(111 + i, 40)) for i in range(8)]
+    source = spark.createDataFrame(texts, "key_id long, key_text long, text string").withColumn("scope", F.lit(0).cast("long"))
+    got = {r["key_id"]: r["lost"] for r in suffix_dedup.repeated_runs(source, SPAN, 240).collect()}
+    for (i, _, text), gone in zip(texts, brute_removal([t.encode() for _, _, t in texts]), strict=True):
+        runs = got.get(i, [])
+        anchors = len(suffix_dedup.anchors([text.encode()], SPAN, 240)[0])
+        assert len(runs) <= anchors and suffix_dedup.lost_bytes(len(text), np.array([r["a"] for r in runs], int), np.array([r["b"] for r in runs], int)).tolist() == gone.tolist()
+
+
 def test_contexts_of_one_anchor_are_split_into_parts(spark, prose, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART", 3)
     shared = prose(30, 120)
