@@ -143,6 +143,24 @@ def test_host_boilerplate_of_pages_without_an_article(spark, prose):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_host_boilerplate_inside_marked_articles(spark, prose):
+    notice, wire, teaser = prose(60, 40), prose(61, 60), prose(62, 50)
+    page = lambda *inside, outside="": "<body><article>" + "".join(f"<p>{t}</p>" for t in inside) + f"</article><footer><p>{outside}</p></footer></body>"
+    rows = [(i, page(prose(80 + i, 60), notice, prose(180 + i, 30)), "a") for i in range(4)]  # a notice that nothing marks
+    rows += [(4, page(prose(90, 60), outside=notice), "a")]
+    rows += [(10 + i, page(wire, prose(100 + i, 60)), "a") for i in range(3)]  # a paragraph that articles share
+    rows += [(20 + i, page(teaser, prose(110, 40)), "a") for i in range(2)] + [(22, page(prose(111, 40), outside=teaser), "a")]  # an article served twice, and its teaser elsewhere
+    rows += [(30 + i, page(prose(120 + i, 60), notice), "b") for i in range(2)]  # a host without that footer
+    pages = spark.createDataFrame([(i, f"https://{h}.example/{i}", t) for i, t, h in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == prose(80 + i, 60) + " " + prose(180 + i, 30) for i in range(4))
+    assert all(got[10 + i] == wire + " " + prose(100 + i, 60) for i in range(3))
+    assert got[20] == got[21] == teaser + " " + prose(110, 40)
+    assert (got[4], got[22]) == (prose(90, 60), prose(111, 40))
+    assert all(got[30 + i] == prose(120 + i, 60) + " " + notice for i in range(2))
+
+
 # --- the registered query of recordings ------------------------------------------------------------------
 
 
