@@ -560,3 +560,24 @@ def test_sql_twins(spark, name):
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
     assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_lists_of_a_line(spark, prose, monkeypatch):
+    """All neighbourhoods of a line of few different words, however long; of others about RATE; no lambda makes them; a line of many copies goes as before."""
+    few, many = ["repeated"] * 400 + prose(900, 12).split() + ["repeated"] * 400, [f"{w}longer{i}" for i, w in enumerate(prose(901, 300).split())]
+    texts = [(i, " ".join(w)) for i, w in enumerate([prose(902, 15).split(), few, many])]
+    opened = spark.createDataFrame(texts, "key_id long, line string").selectExpr("key_id", "key_id as key_text", "0 as place", "line")
+    listed = line_dedup._listed(opened, 0.8, 1)
+    rows = listed.collect()
+    assert sorted(r["key_id"] for r in rows if r["k"] is None) == [0, 1, 2]
+    lists = [len({r["k"] >> 22 for r in rows if r["key_id"] == i and r["k"] is not None}) for i in range(3)]
+    around = {(a, b, c) for a, b, c in zip([None, *few], few, [*few[1:], None])}
+    assert lists[:2] == [15, len(around)] and 2 <= lists[2] <= 40
+    assert "transform(" not in listed._jdf.queryExecution().optimizedPlan().toString()
+
+    monkeypatch.setattr(line_dedup, "_MANY", 3)
+    other = " ".join(["changed", *texts[0][1].split()[1:]])
+    texts = [(i, texts[0][1]) for i in range(3, 9)] + [(9, other), (1, prose(903, 9)), (2, other + "\n" + texts[1][1]), (10, texts[1][1].replace("repeated", "Repeated", 7) + " more")]
+    gone, _ = brute_lines(texts)
+    out = line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {i: len(gone[i]) for i, _ in texts} and len(gone[9]) == len(gone[10]) == 1
